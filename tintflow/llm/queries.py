@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, quality
+from . import decontam, fingerprints, langid, licenses, lm_scoring, packing, quality
 from .common import in_fold, table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = in_fold(F.col("doc_id"), 5, 0)
     out = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held, keep={"held_out": held})
@@ -32,8 +45,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_classifier, op5_license_scan, op9_language_id, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_benchmark_decontamination, op3_lm_scoring, op4_quality_classifier, op5_license_scan, op9_language_id, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle()}
+    return {"op2_benchmark_decontamination": decontam.oracle(), "op5_license_scan": licenses.oracle()}
