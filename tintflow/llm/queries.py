@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard_join, langid, licenses, lm_scoring, packing, quality, suffix_dedup
+from . import decontam, fingerprints, html_text, jaccard_join, langid, licenses, lm_scoring, packing, quality, suffix_dedup
 from .common import in_fold, table
 
 
@@ -42,6 +42,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_sets(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = in_fold(F.col("doc_id"), 3, 1)
     out = langid.identify(table(spark, sf_dir, "documents"), learn=~held)
@@ -53,7 +57,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_benchmark_decontamination, op3_lm_scoring, op4_quality_classifier, op5_license_scan, op6_suffix_array_dedup, op7_ngram_jaccard_join, op9_language_id, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_benchmark_decontamination, op3_lm_scoring, op4_quality_classifier, op5_license_scan, op6_suffix_array_dedup, op7_ngram_jaccard_join, op8_html_extraction, op9_language_id, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
