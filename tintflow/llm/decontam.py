@@ -72,8 +72,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows whose key is in no pair; rows with a null key stay."""
-    hit = contaminated(docs, items, key=key, **options).select(F.col(key)).distinct()
-    return docs.join(hit, key, "left_anti").select(*docs.columns)
+    hit = cut(contaminated(docs, items, key=key, **options).select(F.col(key).alias("k2")).distinct())
+    return docs.join(_small(hit, hit.count()), docs[key] == F.col("k2"), "left_anti")
 
 
 def oracle(threshold: float = 0.75) -> str:

@@ -167,8 +167,8 @@ def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_
     return out
 
 
-def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, lang_pred, score of each row (and the columns `keep`). The language is learned from rows where `learn` holds, from at most
+def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """key, lang_pred, score of each row (and the columns `keep`, and the text as `_text`). The language is learned from rows where `learn` holds, from at most
     `most_chars` characters each. The score is the share of phrases that the best language needs less than the second."""
     texts = sample(docs, learn, key, text, lang, most_chars, per_lang)
     held: dict[int, CrossParser] = {}
@@ -197,12 +197,24 @@ def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
                 pred.append(names[np.where(lettered, best, len(parser.langs))])
                 score.append(np.where(lettered, sure, 0.0))
             out = [pa.array(np.concatenate(pred), pa.string()), pa.array(np.clip(np.concatenate(score), 0, 1), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *out], names=[*b.schema.names[1:], "lang_pred", "score"])
+            first = 0 if with_text else 1
+            yield pa.RecordBatch.from_arrays([*b.columns[first:], *out], names=[*b.schema.names[first:], "lang_pred", "score"])
 
     rest = [c for c in dict.fromkeys([key, *keep]) if c != text]
     src = docs.select(F.col(text).alias("_text"), *rest)
     kinds = dict(src.dtypes)
-    return src.mapInArrow(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "lang_pred string, score double"]))
+    return src.mapInArrow(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in (src.columns if with_text else rest)), "lang_pred string, score double"]))
+
+
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
+    """The rows whose language is found, with the same columns; those without a letter go. Learned from all rows with a key and a language."""
+    # Columns travel under numbers, so that none clashes with what is added.
+    rest = [c for c in docs.columns if c != text]
+    plain = docs.select(F.col(text).alias("t"), F.col(key).alias("k"), F.col(lang).alias("l"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    named = identify(plain, F.col("k").isNotNull(), "k", "t", "l", keep=tuple(f"c{i}" for i in range(len(rest))), with_text=True, **options)
+    kept = named.where("lang_pred <> 'und'")
+    back = {c: f"c{i}" for i, c in enumerate(rest)} | {text: "_text"}
+    return kept.select(*[F.col(back[c]).alias(c) for c in docs.columns])
 
 
 def _has_letter(texts: pa.Array, lo: int, buf: np.ndarray, offsets: np.ndarray, s: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -20,6 +20,7 @@ counts as empty; texts shorter than `length` lose nothing; of equal texts of tha
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -357,34 +358,70 @@ def removed_intervals(starts: np.ndarray, sizes: np.ndarray, length: int) -> lis
     return list(zip(s[at].tolist(), reach[np.r_[at[1:] - 1, len(s) - 1]].tolist(), strict=True))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 of each row; with_text: kept too, the bytes that remain."""
+def _listed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(u, starts, sizes) of rows that lose something but not all."""
+    return cut(found.join(rows.where("whole").select("u").distinct(), "u", "left_anti").groupBy("u").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes")))
+
+
+def _without(data: bytes, starts: pa.Scalar, sizes: pa.Scalar, length: int) -> tuple[bytes, int]:
+    """What remains, and the number of intervals that went."""
+    gone = removed_intervals(starts.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy(zero_copy_only=False), length)
+    return b"".join(data[a:e] for a, e in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(data)], strict=True)), len(gone)
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     rows, found = spans(docs, key, text, length)
     rows = cut(rows)
-    listed = cut(found.join(rows.where("whole").select("u").distinct(), "u", "left_anti").groupBy("u").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes")))
+    listed = _listed(rows, found)
     n = listed.count()
     src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).withColumn("u", F.xxhash64("k", "t"))
     hit = src.join(maybe_broadcast(listed.select("u"), n), "u", "left_semi").select("u", "t").dropDuplicates(["u"]) if n else src.select("u", "t").limit(0)
+    schema = pa.schema([("u2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-    def remove(batches):
+    def digest(batches):
         for b in batches:
             out = []
             for u, t, starts, sizes in zip(*(b.column(i) for i in range(4)), strict=True):
-                data = t.as_py()
-                gone = removed_intervals(starts.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy(zero_copy_only=False), length)
-                kept = b"".join(data[a:e] for a, e in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(data)], strict=True))
-                out.append((u.as_py(), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())], names=["u2", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    changed = hit.join(listed, "u").select("u", "t", "starts", "sizes").mapInArrow(remove, "u2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    if not with_text:
-        changed = changed.drop("kept")
-    else:
-        rows = rows.join(src.select(F.col("u").alias("u3"), "t").dropDuplicates(["u3"]), F.col("u") == F.col("u3")).drop("u3")
+                kept, n = _without(data := t.as_py(), starts, sizes, length)
+                out.append({"u2": u.as_py(), "n_removed": len(data) - len(kept), "n_spans": n, "kept_sha256": hashlib.sha256(kept).hexdigest()})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    changed = hit.join(listed, "u").select("u", "t", "starts", "sizes").mapInArrow(digest, "u2 long, n_removed long, n_spans long, kept_sha256 string")
     out = rows.join(changed, F.col("u") == F.col("u2"), "left")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    columns = [
+    return out.select(
         F.col("k").alias(key), "n_bytes", F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("whole"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("whole"), empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    ]
-    return out.select(*columns, *([F.when(F.col("whole"), F.lit(b"")).otherwise(F.coalesce("kept", "t")).alias("kept")] if with_text else []))
+    )
+
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", length: int = 200) -> DataFrame:
+    """All rows with what remains of their texts (cut characters are left out), and the number of its characters where there is such a column."""
+    rows, found = spans(docs, key, text, length)
+    rows = cut(rows)
+    listed = _listed(rows, found)
+    wholly = rows.where("whole").select("u").distinct()
+    touched = cut(listed.select(F.col("u").alias("u2"), "starts", "sizes").unionByName(wholly.select(F.col("u").alias("u2"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("sizes"))))
+    n = touched.count()
+    mark = F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    same = docs.join(maybe_broadcast(touched.select("u2"), n), mark == F.col("u2"), "left_anti")
+    if not n:
+        return same
+    columns = docs.columns
+    hit = docs.join(maybe_broadcast(touched.select("u2"), n), mark == F.col("u2"), "left_semi")
+    plain = hit.select(mark.alias("u"), F.col(text).cast("binary").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c not in (text, n_chars)])
+    plain = plain.join(touched, F.col("u") == F.col("u2")).drop("u", "u2")
+    rest = [c for c in plain.columns if re.fullmatch(r"c\d+", c)]
+    kinds = dict(plain.dtypes)
+
+    def shorten(batches):
+        for b in batches:
+            texts = []
+            for t, starts, sizes in zip(*(b.column(i) for i in range(3)), strict=True):
+                texts.append("" if starts.as_py() is None else _without(t.as_py(), starts, sizes, length)[0].decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[3:]], names=["t", *rest])
+
+    short = plain.select("t", "starts", "sizes", *rest).mapInArrow(shorten, ", ".join(["t string", *(f"{c} {kinds[c]}" for c in rest)]))
+    back = [F.col("t").alias(c) if c == text else F.length("t").cast(dict(docs.dtypes)[c]).alias(c) if c == n_chars else F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
+    return same.unionByName(short.select(*back))
