@@ -13,14 +13,18 @@ import hashlib
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Keys (8 bytes each) of rows in buckets of several, up to which they are broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
 def canonical(text: str) -> str:
     if text.isascii():
         return " ".join(text.lower().split())
@@ -31,12 +35,12 @@ def digest(canon: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(canon)
 
 
-def _witness(canon: bytes) -> str:
-    return hashlib.blake2b(canon, digest_size=16).hexdigest()
+def _witness(canon: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(canon, digest_size=8).digest(), "little", signed=True)
 
 
-def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_chars, fingerprint of each row, with the buckets' bytes compared."""
+def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=digest) -> DataFrame:
+    """key, n_chars, fingerprint of each row, with the buckets' bytes compared. `digest` maps canonical bytes to text."""
     src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def rows(batches):
@@ -44,24 +48,26 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             texts = b.column(1).to_pylist()
             canons = [canonical(t).encode("utf-8", "surrogatepass") for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(map(digest, canons), pa.string()), pa.array(map(_witness, canons), pa.string())],
+                [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(map(digest, canons), pa.string()), pa.array(map(_witness, canons), pa.int64())],
                 names=["k", "n_chars", "digest", "witness"],
             )
 
     kind = dict(src.dtypes)["k"]
-    marks = cut(src.mapInArrow(rows, f"k {kind}, n_chars long, digest string, witness string"))
-    settled = resolve(marks, collisions(docs, marks, key, text), "digest", "witness", "fingerprint")
+    marks = cut(src.mapInArrow(rows, f"k {kind}, n_chars long, digest string, witness long"))
+    settled = resolve(marks, collisions(docs, marks, key, text, digest), "digest", "witness", "fingerprint")
     return settled.select(F.col("k").alias(key), "n_chars", "fingerprint")
 
 
-def collisions(docs: DataFrame, marks: DataFrame, key: str, text: str) -> DataFrame:
+def collisions(docs: DataFrame, marks: DataFrame, key: str, text: str, digest=digest) -> DataFrame:
     """(digest, witness, suffix) of texts whose canonical bytes differ from those of their bucket's first. marks has k and digest.
 
     Only texts in buckets of several documents are read again; equal texts meet before they are shuffled.
     """
-    full = marks.groupBy("digest").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("n > 1").select("digest")
-    wanted = marks.join(full, "digest", "left_semi").select("k").distinct()
-    src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(wanted, "k", "left_semi").select("t")
+    full = marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    wanted = cut(marks.join(full, "digest", "left_semi").select("k").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    src = src.join(wanted.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")), "left_semi").select("t")
 
     def rows(batches):
         for b in batches:
@@ -75,9 +81,9 @@ def collisions(docs: DataFrame, marks: DataFrame, key: str, text: str) -> DataFr
 
     def named(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_witness(x) for x in b.column(1).to_pylist()], pa.string())], names=["digest", "witness"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_witness(x) for x in b.column(1).to_pylist()], pa.int64())], names=["digest", "witness"])
 
-    return other.select("digest", "canon").mapInArrow(named, "digest string, witness string").withColumn("suffix", F.concat(F.lit("-"), F.col("witness")))
+    return other.select("digest", "canon").mapInArrow(named, "digest string, witness long").withColumn("suffix", F.concat(F.lit("-"), F.hex("witness")))
 
 
 def resolve(marks: DataFrame, table: DataFrame, digest_col: str, witness_col: str, out: str) -> DataFrame:
@@ -87,12 +93,12 @@ def resolve(marks: DataFrame, table: DataFrame, digest_col: str, witness_col: st
     return joined.withColumn(out, F.concat(F.col(digest_col), F.coalesce(F.col("_s"), F.lit("")))).drop("_d", "_w", "_s")
 
 
-def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_each: int = 500, most_slices: int = 4_000) -> DataFrame:
+def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_each: int = 500, most_slices: int = 4_000, digest=digest) -> DataFrame:
     """Each text beside its edited form and the next document of descending key, which must be a whole number.
 
     The edited form has the last floor(n/2) code points replaced by the first as many (or all) of the next document. Rows are dealt by
     ranges of the key, so that a document and its successor meet in one sorted pass; the first document of a range is dealt to the range
-    above it too. Rows of equal key follow one another by text, a null key comes last, and after the last row comes the first. The
+    above it too. Rows of equal key follow one another by their compressed text, a null key comes last, and after the last row comes the first. The
     likeness of two exact digests is 1 or 0.
     """
     src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -101,35 +107,45 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", row
     bounds = sorted(set(src.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or [])) if parts > 1 else []
     ladder = np.array(bounds, np.int64)
 
-    @F.pandas_udf("int")
-    def slice_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(ladder, k.fillna(-(1 << 63)).to_numpy(np.int64), "left").astype(np.int32))
-
-    # A bound is a key of its slice, and the largest there: each is also the successor of what the slice above ends with.
-    own = src.select(slice_of("k").alias("slice"), F.lit(0).alias("guest"), "k", "t")
-    ends = src.where(F.col("k").isin(bounds)).select((slice_of("k") + 1).alias("slice"), F.lit(1).alias("guest"), "k", "t") if bounds else None
-    wrap = src.where(F.col("k").eqNullSafe(F.lit(top))).select(F.lit(0).alias("slice"), F.lit(1).alias("guest"), "k", "t")
-    dealt = own.unionByName(ends) if ends is not None else own
-    dealt = dealt.unionByName(wrap).repartition("slice").sortWithinPartitions("slice", "guest", F.col("k").desc_nulls_last(), "t")
+    def deal(batches):
+        """Rows to their slices, with the text compressed for the way. A bound is a key of its slice, and the largest there: each is also the
+        successor of what the slice above ends with. The largest key of all succeeds the last row."""
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            out = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                z = press.compress(t.encode("utf-8", "surrogatepass"))
+                s = 0 if k is None else int(np.searchsorted(ladder, k, "left"))
+                out.append((s, 0, k, z))
+                if k is not None and s < len(ladder) and ladder[s] == k:
+                    out.append((s + 1, 1, k, z))
+                if k == top:
+                    out.append((0, 1, k, z))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slice", "guest", "k", "z"])
+
+    dealt = src.select(F.col("k").cast("long").alias("k"), "t").mapInArrow(deal, "slice int, guest int, k long, z binary")
+    dealt = dealt.repartition("slice").sortWithinPartitions("slice", "guest", F.col("k").desc_nulls_last(), "z")
 
     def rows(batches):
         held = None  # (slice, key, text, canonical bytes, digest) of the row that waits for its successor
+        press = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for s, guest, k, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for s, guest, k, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if guest and (held is None or held[0] != s):
                     continue  # a second guest of the slice, or a guest of one without rows
+                t = press.decompress(z).decode("utf-8", "surrogatepass")
                 canon = canonical(t).encode("utf-8", "surrogatepass")
                 here = (s, k, t, canon, digest(canon))
                 if held is not None and held[0] == s:
-                    out.append(_compared(held, here))
+                    out.append(_compared(held, here, digest))
                 held = None if guest else here
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([("k", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("witness", pa.string()), ("edited_digest", pa.string()), ("edited_witness", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    marks = cut(dealt.mapInArrow(rows, "k long, n_chars long, edited_sha256 string, digest string, witness string, edited_digest string, edited_witness string, near_edited double, near_next double"))
-    table = cut(collisions(docs, marks, key, text))
+    schema = pa.schema([("k", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("witness", pa.int64()), ("edited_digest", pa.string()), ("edited_witness", pa.int64()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    marks = cut(dealt.mapInArrow(rows, "k long, n_chars long, edited_sha256 string, digest string, witness long, edited_digest string, edited_witness long, near_edited double, near_next double"))
+    table = cut(collisions(docs, marks, key, text, digest))
     if table.isEmpty():
         done = marks.withColumn("fingerprint", F.col("digest")).withColumn("edited_fingerprint", F.col("edited_digest"))
     else:
@@ -137,7 +153,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", row
     return done.select(F.col("k").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-def _compared(a: tuple, b: tuple) -> dict:
+def _compared(a: tuple, b: tuple, digest) -> dict:
     _, k, t, canon, d = a
     half = len(t) // 2
     edited = t[: len(t) - half] + b[2][:half]
