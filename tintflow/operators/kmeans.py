@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..types import MAX_COLORS, AboveMaxLen
@@ -119,3 +120,33 @@ def palette(colors: DataFrame, initial: DataFrame, options: KmeansOptions = Kmea
     grouped = initial.select("image_id", "palette_idx", "c0", "c1", "c2").groupBy("image_id").cogroup(drawn.groupBy("image_id"))
     out = grouped.applyInPandas(lambda a, b: move(a, b) if len(a) else pd.DataFrame({c: [] for c in ("image_id", "palette_idx", "c0", "c1", "c2", "n")}), "image_id long, palette_idx int, c0 double, c1 double, c2 double, n long")
     return out
+
+
+def indexed(vectors: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """idx: places 0, 1, ... of the rows. Rows are counted within buckets of a hash of the key, and buckets moved by what is before them."""
+    v = vectors.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    before = v.groupBy("bucket").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("bucket", "before")
+    local = F.row_number().over(W.partitionBy("bucket").orderBy(key)) - 1
+    return v.withColumn("local", local).join(F.broadcast(before), "bucket").withColumn("idx", F.col("before") + F.col("local")).drop("bucket", "local", "before")
+
+
+def refine_vectors(vectors: DataFrame, initial: DataFrame, key: str, vector: str, options: KmeansOptions = KmeansOptions()) -> DataFrame:
+    """(palette_idx, the vector, n): centroids of arrays of any one length, moved by samples of the rows. initial has palette_idx and the vector, 256 rows at most."""
+    total = vectors.count()
+    m = num_samples(options.sampling_factor, total)
+    spark = vectors.sparkSession
+    ordinals = spark.range(m).select(F.col("id").alias("ordinal"), F.pmod(F.xxhash64(F.lit(options.seed).cast("long"), "id"), F.lit(max(total, 1))).alias("idx"))
+    drawn = ordinals.join(indexed(vectors, key), "idx").select(F.lit(0).alias("one"), "ordinal", F.col(vector).cast("array<double>").alias("v"))
+    first = initial.select(F.lit(0).alias("one_"), "palette_idx", F.col(vector).cast("array<double>").alias("v"))
+    batch = None if options.mode == "online" else options.batch_size
+
+    def move(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame({"palette_idx": [], vector: [], "n": []})
+        a = a.sort_values("palette_idx")
+        start = np.array(a["v"].tolist())
+        points = np.array(b.sort_values("ordinal")["v"].tolist()) if len(b) else np.zeros((0, start.shape[1]))
+        c, n = fold(points, start, batch)
+        return pd.DataFrame({"palette_idx": a["palette_idx"].to_numpy(), vector: [x.astype(float).tolist() for x in c], "n": n})
+
+    return first.groupBy("one_").cogroup(drawn.groupBy("one")).applyInPandas(move, f"palette_idx int, `{vector}` array<double>, n long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import FloatBinner, UIntBinner, component_ranges, from_srgb, squared_distance, to_srgb
 from ..functions.colorspace import LINEAR_TO_LMS, LMS_TO_OKLAB, SRGB_TO_XYZ, WHITE
 from ..operators import counts, dither, histogram, kmeans, nearest, wu
-from ..sources import from_table, palette_hex, quantized_pixels, truncated
+from ..sources import from_table, palette_hex, points, quantized_pixels, truncated
 from ..types import PALETTE
 from .pipeline import ImagePipeline, PalettePipeline, QuantizeMethod
 
@@ -335,8 +335,25 @@ def kmeans_sample_count(spark, d):
 
 @query()
 def kmeans_embeddings(spark, d):
-    """The assignment step on vectors of 64 components, from the labels' means."""
-    return nearest_embeddings(spark, d).groupBy("palette_idx").agg(F.count("*").alias("n"))
+    """The labels' mean vectors, moved by samples of the vectors; and how many vectors are nearest to each."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    means = e.groupBy(F.col("label").alias("palette_idx")).agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(64)]).alias("embedding"))
+    moved = kmeans.refine_vectors(e, means, "vec_id", "embedding", kmeans.KmeansOptions(sampling_factor=1.0, batch_size=64))
+    near = nearest.nearest_vectors(e, moved, "vec_id", "embedding")
+    return moved.select("palette_idx", "n").join(near.groupBy("palette_idx").agg(F.count("*").alias("vectors")), "palette_idx", "left")
+
+
+@query("SELECT DISTINCT CAST(label AS INTEGER) AS palette_idx, CAST(0 AS BIGINT) AS n FROM embeddings")
+def kmeans_embeddings_zero_samples(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    means = e.groupBy(F.col("label").alias("palette_idx")).agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(64)]).alias("embedding"))
+    return kmeans.refine_vectors(e, means, "vec_id", "embedding", kmeans.KmeansOptions(sampling_factor=0.0)).select("palette_idx", "n")
+
+
+@query(f"SELECT concat(CAST(g AS VARCHAR), ' ', CAST(b AS VARCHAR), ' ', CAST(r AS VARCHAR), ' ', CAST(n AS VARCHAR), ' 0x', printf('%02X%02X%02X', r, g, b)) AS line, 'Colors' AS block FROM ({UNIQUE}) WHERE n >= 16")
+def point_dump(spark, d):
+    colors = counts.unique_color_counts(lineitem_px(spark, d))
+    return points(colors.select("n", "r", "g", "b", F.col("r").alias("c0"), F.col("g").alias("c1"), F.col("b").alias("c2")), "Colors", 16)
 
 
 _EXACT = "SELECT event_id AS pos, CAST(event_id % 11 AS INTEGER) AS palette_idx FROM events"

@@ -24,10 +24,10 @@ def palette_hex(palette: DataFrame) -> DataFrame:
     return palette.groupBy("image_id").agg(F.array_join(F.transform(ordered, lambda x: x["hex"]), " ").alias("palette"))
 
 
-def points(colors: DataFrame, block: str) -> DataFrame:
-    """Lines `a b l n 0xRRGGBB` for a plot: of rows with components c0 (lightness), c1, c2, a count n and the colour r, g, b."""
+def points(colors: DataFrame, block: str, least: int = 0) -> DataFrame:
+    """Lines `a b l n 0xRRGGBB` for a plot: of rows with components c0 (lightness), c1, c2, a count n and the colour r, g, b; colours of fewer than `least` pixels are left out."""
     line = F.format_string("%s %s %s %d 0x%02X%02X%02X", F.col("c1").cast("string"), F.col("c2").cast("string"), F.col("c0").cast("string"), "n", "r", "g", "b")
-    return colors.select(F.lit(block).alias("block"), line.alias("line"))
+    return colors.where(F.col("n") >= least).select(F.lit(block).alias("block"), line.alias("line"))
 
 
 def png(pixels: np.ndarray) -> bytes:
