@@ -5,8 +5,8 @@ size: partition p has sizes 2^p to 2^(p+1)-1. An item's sketch is its bottom-k M
 largest size cannot reach the threshold without one of any k of its shingles; so the search, which looks for documents of any length that
 hold a sketch value, misses nothing. Candidates are then verified by the exact count of the item's shingles in the document.
 
-Defined results: one row for each pair of document key and item that reaches the threshold; of several rows of one key, the one that holds
-most counts. Null or empty texts and items have no words and pair with nothing.
+Defined results: one row for each pair of document key and item that reaches the threshold; of several rows of one key (or items of one id), the
+pair that shares most counts. Null or empty texts and items have no words and pair with nothing.
 """
 
 from __future__ import annotations
@@ -38,19 +38,19 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.75) -> DataFrame:
     """key, item, n_item (the item's shingles), n_found, containment of each pair that reaches the threshold."""
     it = items.select(F.col(item).alias("i"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
-    it = it.withColumn("width", F.least(F.size("w"), F.lit(width)))
+    it = it.dropDuplicates(["i", "w"]).withColumn("width", F.least(F.size("w"), F.lit(width))).withColumn("g", F.xxhash64("w"))
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     widths = sorted(r[0] for r in it.select("width").distinct().collect())  # as many as `width` at most
     found = None
     for n in widths:
-        part = it.where(F.col("width") == n).select("i", "w").withColumn("s", F.sort_array(shingle_hashes(F.col("w"), n)))
-        part = part.select("i", "s", F.size("s").alias("m")).withColumn("need", F.ceil(F.col("m") * F.lit(threshold) - F.lit(1e-9)))
+        part = it.where(F.col("width") == n).select("i", "g", "w").withColumn("s", F.sort_array(shingle_hashes(F.col("w"), n)))
+        part = part.select("i", "g", "s", F.size("s").alias("m")).withColumn("need", F.ceil(F.col("m") * F.lit(threshold) - F.lit(1e-9)))
         # The partition's largest size, and how many of its shingles may be missing.
         most = F.pow(F.lit(2.0), F.floor(F.log2(F.col("m").cast("double"))) + 1) - 1
         k = (most - F.ceil(most * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-        part = cut(part.select("i", "s", "m", "need", F.slice("s", F.lit(1), F.least(k, F.col("m"))).alias("sketch")))
+        part = cut(part.select("i", "g", "s", "m", "need", F.slice("s", F.lit(1), F.least(k, F.col("m"))).alias("sketch")))
         sketch = part.select("i", F.explode("sketch").alias("v"))
-        members = part.select("i", "m", "need", F.explode("s").alias("v"))
+        members = part.select("i", "g", "m", "need", F.explode("s").alias("v"))
         sizes = part.agg(F.sum(F.size("sketch")), F.sum("m")).first()
         shingled = src.withColumn("h", F.xxhash64("t")).withColumn("w", words(F.col("t"))).where(F.size("w") >= n)
         probe = shingled.select("k", "h", F.explode(shingle_hashes(F.col("w"), n)).alias("v"))
@@ -59,7 +59,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         n_texts = texts.count()
         chosen = shingled.join(_small(texts, n_texts), F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")), "left_semi").dropDuplicates(["k", "h"]) if n_texts else shingled.limit(0)
         holds = chosen.select("k", "h", F.explode(shingle_hashes(F.col("w"), n)).alias("v")).join(_small(members, sizes[1] or 0), "v")
-        exact = holds.groupBy("k", "h", "i", "m", "need").agg(F.count("*").alias("found")).where("found >= need")
+        exact = holds.groupBy("k", "h", "i", "g", "m", "need").agg(F.count("*").alias("found")).where("found >= need")
         # Pairs that the search proposed, and no others.
         p = pairs.withColumnsRenamed({"k": "k2", "h": "h2", "i": "i2"})
         exact = exact.join(p, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")) & F.col("i").eqNullSafe(F.col("i2")), "left_semi").select("k", "i", "m", "found")
