@@ -7,7 +7,7 @@ agree on `length` bytes have to meet, and they are sorted in buckets, a bucket a
    run. Runs are counted by bucket and by a hash of their bytes: a run that occurs again is removed whole, and a bucket of one run falls away.
 2. Of the other buckets the bytes are read, one run of each kind. Windows are dealt by the bytes beside the minimizer too, so that a frequent
    minimizer spreads over many buckets.
-3. A task concatenates whole buckets of about a megabyte and sorts their windows by 64 bytes. Longer ties are resolved in a three-way
+3. A task concatenates whole buckets of about half a megabyte and sorts their windows by 64 bytes. Longer ties are resolved in a three-way
    quicksort by the ranks of a difference-cover sample: for any two positions there is a step below 64 that takes both into the sample.
    Neighbours are compared byte for byte.
 
@@ -35,7 +35,9 @@ M = 64  # bytes of a minimizer, and of what is sorted before the cover's ranks a
 V = 64  # the cover's modulus
 #: Keys of rows (8 bytes each) up to which they are broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Windows that are sorted at a time.
+AT_ONCE = 1 << 18
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -180,19 +182,25 @@ class Block:
         return order, group
 
     def repeated(self, start: np.ndarray, length: int) -> np.ndarray:
-        """Whether the string of `length` bytes at each place stands at another of the places too."""
+        """Whether the string of `length` bytes at each place stands at another of the places too. The suffixes of one first word are a bucket; buckets are sorted together up to AT_ONCE suffixes."""
         out = np.zeros(len(start), bool)
-        order, group = self.sorted(start)
-        if not len(order):
-            return out
-        at = start[order]
-        same = np.flatnonzero(group[1:] == group[:-1])
-        for k in range(M, length - 7, 8):
-            same = same[self.word[at[same] + k] == self.word[at[same + 1] + k]]
-        k = length - 8
-        same = same[self.word[at[same] + k] == self.word[at[same + 1] + k]]
-        out[order[same]] = True
-        out[order[same + 1]] = True
+        first = self.word[start]
+        turn = np.argsort(first, kind="stable")
+        edges = np.r_[np.flatnonzero(np.r_[True, first[turn][1:] != first[turn][:-1]]), len(turn)] if len(turn) else np.zeros(1, np.int64)
+        lo = 0
+        while lo < len(edges) - 1:
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + AT_ONCE, "right")) - 1)
+            some = turn[edges[lo] : edges[hi]]
+            lo = hi
+            order, group = self.sorted(start[some])
+            if not len(order):
+                continue
+            at = start[some[order]]
+            same = np.flatnonzero(group[1:] == group[:-1])
+            for k in (*range(M, length - 7, 8), length - 8):
+                same = same[self.word[at[same] + k] == self.word[at[same + 1] + k]]
+            out[some[order[same]]] = True
+            out[some[order[same + 1]]] = True
         return out
 
 
@@ -257,30 +265,35 @@ def _cut_out(length: int):
 
     def cut_out(batches):
         for b in batches:
-            out: list[tuple] = []
-            for u, t, wanted in zip(*(b.column(i) for i in range(3)), strict=True):
-                data = t.as_buffer()
-                raw = np.frombuffer(data, np.uint8)
-                data = data.to_pybytes()
-                uu = u.as_py()
-                total = prefix_hash(raw)
-                for r in wanted.as_py():
-                    s, z = r["start"], r["size"]
-                    at = np.arange(s, s + z + length - M)
-                    places = s + np.flatnonzero(span_hash(total, at, at + M) == U(r["bucket"] & 0xFFFFFFFFFFFFFFFF))
-                    # Each window goes with the first minimizer in it, and with the bytes before it if it has enough of them, else with those behind.
-                    lo = s
-                    for p in places.tolist():
-                        hi = min(s + z, p + 1)
-                        for side, a, e in ((0, lo, min(hi, p - reach + 1)), (1, max(lo, p - reach + 1), hi)):
-                            if a < e:
-                                beside = (p - reach, p) if side == 0 else (p + M, p + M + reach)
-                                h = span_hash(total, np.array([beside[0]]), np.array([beside[1]]))
-                                key = mix(h ^ mix(np.array([r["bucket"] & 0xFFFFFFFFFFFFFFFF], np.uint64) + U(side)))
-                                out.append((int(key.view(np.int64)[0]), uu, a, r["kind"], data[a : e + length - 1]))
-                        lo = max(lo, hi)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "u", "start", "kind", "bytes"])
+            for first in range(0, b.num_rows, 64):
+                out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
+                for u, t, wanted in zip(*(b.column(i).slice(first, 64) for i in range(3)), strict=True):
+                    data = t.as_py()
+                    total = prefix_hash(np.frombuffer(data, np.uint8))
+                    at = np.arange(len(data) - M + 1)
+                    gram = span_hash(total, at, at + M)
+                    parts = []  # from, to (windows), side, bytes beside, bucket, kind
+                    for r in wanted.as_py():
+                        s, z, bucket = r["start"], r["size"], r["bucket"] & 0xFFFFFFFFFFFFFFFF
+                        # Each window goes with the first minimizer in it, and with the bytes before it if it has enough of them, else with those behind.
+                        lo = s
+                        for p in (s + np.flatnonzero(gram[s : s + z + length - M] == U(bucket))).tolist():
+                            hi, turn = min(s + z, p + 1), p - reach + 1
+                            if lo < min(hi, turn):
+                                parts.append((lo, min(hi, turn), 0, p - reach, p, bucket, r["kind"]))
+                            if max(lo, turn) < hi:
+                                parts.append((max(lo, turn), hi, 1, p + M, p + M + reach, bucket, r["kind"]))
+                            lo = max(lo, hi)
+                    if parts:
+                        start, end, side, x, y, bucket, kind = (np.array(c, np.uint64 if i == 5 else np.int64) for i, c in enumerate(zip(*parts, strict=True)))
+                        key = mix(span_hash(total, x, y) ^ mix(bucket + side.astype(np.uint64)))
+                        out[0].append(key.view(np.int64))
+                        out[1].append(np.full(len(parts), u.as_py()))
+                        out[2].append(start.astype(np.int32))
+                        out[3].append(kind.astype(np.int32))
+                        out[4].extend([data[i : j + length - 1] for i, j in zip(start.tolist(), end.tolist(), strict=True)])
+                if out[4]:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:4]), pa.array(out[4], pa.binary())], names=["key", "u", "start", "kind", "bytes"])
 
     return cut_out
 
@@ -305,22 +318,31 @@ def _decide(length: int):
         return pa.RecordBatch.from_arrays([pa.array(us[row[start]]), pa.array((starts[row[start]] + nth[start]).astype(np.int32)), pa.array(np.bincount(run).astype(np.int32))], names=["u", "start", "size"])
 
     def decide(batches):
-        held: list[tuple] = []
-        bucket: list[tuple] = []
-        n = 0
+        held: list[tuple] = []  # of whole buckets, to be sorted
+        bucket: dict[bytes, list[tuple]] = {}
+        now, n = None, 0
         for b in _end(batches):
+            same: list[tuple] = []
             for r in [None] if b is None else zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if r is None or bucket and r[0] != bucket[0][0]:
-                    if len(bucket) > 1 or bucket and _recurs(bucket[0][4], length):
-                        held += bucket
-                        n += sum(len(x[4]) for x in bucket)
-                    bucket = []
+                if r is None or r[0] != now:
+                    # Runs of the same bytes occur again whole; one of them stays, to be compared with.
+                    for data, rows in bucket.items():
+                        if len(rows) > 1:
+                            same += [(x[1], x[2], len(data) - length + 1) for x in rows if x[3] == 1]
+                        if len(bucket) > 1 or len(rows) == 1 and _recurs(data, length):
+                            held.append((*rows[0][:3], rows[0][3] if len(rows) == 1 else 2, data))
+                            n += len(data)
+                    bucket = {}
                     if held and (r is None or n >= BLOCK):
                         if (out := sort_block(held)) is not None:
                             yield out
                         held, n = [], 0
                 if r is not None:
-                    bucket.append(r)
+                    now = r[0]
+                    bucket.setdefault(r[4], []).append(r)
+            if same:
+                u, start, size = zip(*same, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], names=["u", "start", "size"])
 
     return decide
 
