@@ -260,10 +260,11 @@ def _find_runs(src: DataFrame, length: int) -> DataFrame:
 
 
 def _cut_out(length: int):
-    """Rows (u, t, wanted) to the bytes of the wanted runs, dealt by what stands beside the minimizer."""
+    """Rows (u, t, wanted) to the bytes of the wanted runs, dealt by what stands beside the minimizer. Of runs of the same bytes a task sends two; that others occur again is then known."""
     reach = (length - M) // 2
 
     def cut_out(batches):
+        seen: dict[tuple[int, int], bool] = {}  # (bucket, bytes) that this task has sent, and whether with a second run for company
         for b in batches:
             for first in range(0, b.num_rows, 64):
                 out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
@@ -287,11 +288,24 @@ def _cut_out(length: int):
                     if parts:
                         start, end, side, x, y, bucket, kind = (np.array(c, np.uint64 if i == 5 else np.int64) for i, c in enumerate(zip(*parts, strict=True)))
                         key = mix(span_hash(total, x, y) ^ mix(bucket + side.astype(np.uint64)))
-                        out[0].append(key.view(np.int64))
-                        out[1].append(np.full(len(parts), u.as_py()))
-                        out[2].append(start.astype(np.int32))
-                        out[3].append(kind.astype(np.int32))
-                        out[4].extend([data[i : j + length - 1] for i, j in zip(start.tolist(), end.tolist(), strict=True)])
+                        same = span_hash(total, start, end + length - 1)
+                        send = np.ones(len(parts), bool)
+                        for i, pair in enumerate(zip(key.tolist(), same.tolist(), strict=True)):
+                            if (paired := seen.get(pair)) is None:
+                                seen[pair] = False
+                            elif paired:
+                                send[i] = False
+                            else:
+                                seen[pair] = True
+                        # What has been sent twice is settled here: it goes by itself, as its negative size, to any task.
+                        done = ~send & (kind == 1)
+                        some = send | done
+                        spread = mix(key + start.astype(np.uint64) + U(u.as_py() & 0xFFFFFFFFFFFFFFFF))
+                        out[0].append(np.where(send, key, spread)[some].view(np.int64))
+                        out[1].append(np.full(int(some.sum()), u.as_py()))
+                        out[2].append(start[some].astype(np.int32))
+                        out[3].append(np.where(send, kind, start - end)[some].astype(np.int32))
+                        out[4].extend([data[i : j + length - 1] if k else b"" for i, j, k in zip(start[some].tolist(), end[some].tolist(), send[some].tolist(), strict=True)])
                 if out[4]:
                     yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:4]), pa.array(out[4], pa.binary())], names=["key", "u", "start", "kind", "bytes"])
 
@@ -324,6 +338,9 @@ def _decide(length: int):
         for b in _end(batches):
             same: list[tuple] = []
             for r in [None] if b is None else zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if r is not None and r[3] < 0:
+                    same.append((r[1], r[2], -r[3]))
+                    continue
                 if r is None or r[0] != now:
                     # Runs of the same bytes occur again whole; one of them stays, to be compared with.
                     for data, rows in bucket.items():
