@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 #: Keys (8 bytes each) of rows in buckets of several, up to which they are broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -53,7 +53,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
             )
 
     kind = dict(src.dtypes)["k"]
-    marks = cut(src.mapInArrow(rows, f"k {kind}, n_chars long, digest string, witness long"))
+    marks = cut(src.mapInArrow(tidy(rows), f"k {kind}, n_chars long, digest string, witness long"))
     settled = resolve(marks, collisions(docs, marks, key, text, digest), "digest", "witness", "fingerprint")
     return settled.select(F.col("k").alias(key), "n_chars", "fingerprint")
 
@@ -75,7 +75,7 @@ def collisions(docs: DataFrame, marks: DataFrame, key: str, text: str, digest=di
             seen = list(dict.fromkeys(canons))
             yield pa.RecordBatch.from_arrays([pa.array(map(digest, seen), pa.string()), pa.array(seen, pa.binary())], names=["digest", "canon"])
 
-    apart = src.mapInArrow(rows, "digest string, canon binary").groupBy("digest", "canon").agg(F.count("*").alias("n"))
+    apart = src.mapInArrow(tidy(rows), "digest string, canon binary").groupBy("digest", "canon").agg(F.count("*").alias("n"))
     several = apart.groupBy("digest").agg(F.count("*").alias("texts"), F.min("canon").alias("first")).where("texts > 1")
     other = apart.join(several, "digest").where(F.col("canon") != F.col("first"))
 
@@ -83,7 +83,7 @@ def collisions(docs: DataFrame, marks: DataFrame, key: str, text: str, digest=di
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_witness(x) for x in b.column(1).to_pylist()], pa.int64())], names=["digest", "witness"])
 
-    return other.select("digest", "canon").mapInArrow(named, "digest string, witness long").withColumn("suffix", F.concat(F.lit("-"), F.hex("witness")))
+    return other.select("digest", "canon").mapInArrow(tidy(named), "digest string, witness long").withColumn("suffix", F.concat(F.lit("-"), F.hex("witness")))
 
 
 def resolve(marks: DataFrame, table: DataFrame, digest_col: str, witness_col: str, out: str) -> DataFrame:
@@ -123,7 +123,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", row
                     out.append((0, 1, k, z))
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slice", "guest", "k", "z"])
 
-    dealt = src.select(F.col("k").cast("long").alias("k"), "t").mapInArrow(deal, "slice int, guest int, k long, z binary")
+    dealt = src.select(F.col("k").cast("long").alias("k"), "t").mapInArrow(tidy(deal), "slice int, guest int, k long, z binary")
     dealt = dealt.repartition("slice").sortWithinPartitions("slice", "guest", F.col("k").desc_nulls_last(), "z")
 
     def rows(batches):
@@ -144,7 +144,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", row
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("k", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("witness", pa.int64()), ("edited_digest", pa.string()), ("edited_witness", pa.int64()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    marks = cut(dealt.mapInArrow(rows, "k long, n_chars long, edited_sha256 string, digest string, witness long, edited_digest string, edited_witness long, near_edited double, near_next double"))
+    marks = cut(dealt.mapInArrow(tidy(rows), "k long, n_chars long, edited_sha256 string, digest string, witness long, edited_digest string, edited_witness long, near_edited double, near_next double"))
     table = cut(collisions(docs, marks, key, text, digest))
     if table.isEmpty():
         done = marks.withColumn("fingerprint", F.col("digest")).withColumn("edited_fingerprint", F.col("edited_digest"))

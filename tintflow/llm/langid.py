@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .textkit import byte_chunks
 
 #: Classes of bytes: 0 is anything but a letter, 1..26 are a..z, the rest are the bytes of other characters.
@@ -203,7 +204,7 @@ def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
     rest = [c for c in dict.fromkeys([key, *keep]) if c != text]
     src = docs.select(F.col(text).alias("_text"), *rest)
     kinds = dict(src.dtypes)
-    return src.mapInArrow(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in (src.columns if with_text else rest)), "lang_pred string, score double"]))
+    return src.mapInArrow(tidy(rows), ", ".join([*(f"`{c}` {kinds[c]}" for c in (src.columns if with_text else rest)), "lang_pred string, score double"]))
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:

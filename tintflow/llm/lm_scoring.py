@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 from .textkit import U, Words, byte_chunks, gram_hash
 
 #: Marked keys up to which they are broadcast; beyond, the join is shuffled.
@@ -58,7 +58,7 @@ def _counted(src: DataFrame, slots: int, pair_slots: int) -> DataFrame:
             j = at[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(total[0, j]), pa.array(total[1, j])], names=["slot", "background", "target"])
 
-    return src.mapInArrow(rows, "slot long, background long, target long").groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return src.mapInArrow(tidy(rows), "slot long, background long, target long").groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", slots: int = 1 << 16, pair_slots: int = 1 << 19, weight: float = 0.6) -> DataFrame:
@@ -94,5 +94,5 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
             n, t, g = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0),) * 3
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n.astype(np.int64)), pa.array(t), pa.array(g), pa.array(t - g)], names=["k", "n_tokens", "target_loss", "background_loss", "score"])
 
-    out = src.mapInArrow(rows, f"k {dict(src.dtypes)['k']}, n_tokens long, target_loss double, background_loss double, score double")
+    out = src.mapInArrow(tidy(rows), f"k {dict(src.dtypes)['k']}, n_tokens long, target_loss double, background_loss double, score double")
     return out.withColumnRenamed("k", key)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 def best_fit(sizes: list[int], clusters: list, sources: list, capacity: int, source_limit: int) -> tuple[list[int], list[int], int]:
     """(bin, offset in the bin) of each piece, in the order given, and the number of bins. A piece is at most as long as a bin. None is no cluster, or no source."""
@@ -108,5 +110,5 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         if held:
             yield flush()
 
-    out = dealt.mapInArrow(packed, f"k {kind}, s string, piece long, n_pieces long, start long, n_tokens long, bin_id long, bin_offset long")
+    out = dealt.mapInArrow(tidy(packed), f"k {kind}, s string, piece long, n_pieces long, start long, n_tokens long, bin_id long, bin_offset long")
     return out.select(F.col("k").alias(key), F.col("s").alias(source), *columns[2:])

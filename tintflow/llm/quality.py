@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .textkit import WHITE, U, Words, byte_chunks, mix
 
 
@@ -114,4 +115,4 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
 
     src = docs.select(F.col(text).alias("_text"), F.col(key), *[c.alias(n) for n, c in (keep or {}).items()])
     kinds = dict(src.dtypes)
-    return src.mapInArrow(rows, ", ".join([*(f"`{c}` {kinds[c]}" for c in src.columns[1:]), "score double"]))
+    return src.mapInArrow(tidy(rows), ", ".join([*(f"`{c}` {kinds[c]}" for c in src.columns[1:]), "score double"]))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 from .textkit import _BYTE, U, byte_chunks, mix, powers
 
 M = 64  # bytes of a minimizer, and of what is sorted before the cover's ranks are asked
@@ -255,8 +255,8 @@ def _find_runs(src: DataFrame, length: int) -> DataFrame:
                 if some.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), kind, np.int32)), pa.array(bucket[some]), pa.array(u[some]), pa.array(start[some].astype(np.int32)), pa.array(size[some].astype(np.int32))], names=["kind", "bucket", "u", "start", "size"])
 
-    dealt = src.select("u", "t").mapInArrow(emit, "bucket long, full long, u long, start int, size int")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "full", "u", "start").mapInArrow(count, "kind int, bucket long, u long, start int, size int")
+    dealt = src.select("u", "t").mapInArrow(tidy(emit), "bucket long, full long, u long, start int, size int")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "full", "u", "start").mapInArrow(tidy(count), "kind int, bucket long, u long, start int, size int")
 
 
 def _cut_out(length: int):
@@ -382,8 +382,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     wanted = cut(wanted)
     n = wanted.count()
     chosen = long.join(maybe_broadcast(wanted.select("u"), n), "u", "left_semi").select("u", "t").dropDuplicates(["u"]) if n else long.select("u", "t").limit(0)
-    pieces = chosen.join(wanted, "u").select("u", "t", "wanted").mapInArrow(_cut_out(length), "key long, u long, start int, kind int, bytes binary")
-    decided = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_decide(length), "u long, start int, size int")
+    pieces = chosen.join(wanted, "u").select("u", "t", "wanted").mapInArrow(tidy(_cut_out(length)), "key long, u long, start int, kind int, bytes binary")
+    decided = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_decide(length)), "u long, start int, size int")
     return rows, found.where("kind = 0").select("u", "start", "size").unionByName(decided)
 
 
@@ -426,7 +426,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 out.append({"u2": u.as_py(), "n_removed": len(data) - len(kept), "n_spans": n, "kept_sha256": hashlib.sha256(kept).hexdigest()})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    changed = hit.join(listed, "u").select("u", "t", "starts", "sizes").mapInArrow(digest, "u2 long, n_removed long, n_spans long, kept_sha256 string")
+    changed = hit.join(listed, "u").select("u", "t", "starts", "sizes").mapInArrow(tidy(digest), "u2 long, n_removed long, n_spans long, kept_sha256 string")
     out = rows.join(changed, F.col("u") == F.col("u2"), "left")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
@@ -461,6 +461,6 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
                 texts.append("" if starts.as_py() is None else _without(t.as_py(), starts, sizes, length)[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[3:]], names=["t", *rest])
 
-    short = plain.select("t", "starts", "sizes", *rest).mapInArrow(shorten, ", ".join(["t string", *(f"{c} {kinds[c]}" for c in rest)]))
+    short = plain.select("t", "starts", "sizes", *rest).mapInArrow(tidy(shorten), ", ".join(["t string", *(f"{c} {kinds[c]}" for c in rest)]))
     back = [F.col("t").alias(c) if c == text else F.length("t").cast(dict(docs.dtypes)[c]).alias(c) if c == n_chars else F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
     return same.unionByName(short.select(*back))
