@@ -412,6 +412,28 @@ def test_lm_scoring_is_brute_force(spark):
         assert abs(got[i] - (loss[0] - loss[1])) < 1e-4
 
 
+def test_lm_scoring_counts_each_ngram(spark, monkeypatch):
+    """More words than the least vocabulary, over many blocks: no n-gram takes another one's count."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 512, raising=False)
+    rng = np.random.default_rng(9)
+    texts = [words(rng, int(n), 300) for n in rng.integers(1, 60, 30)] + [None, "", " "]
+    parts, w = [(t or "").split() for t in texts], 0.6
+    vocabulary = len({x for t in parts for x in t})
+    models = []
+    for some in (range(0, 33, 3), range(33)):
+        models.append((Counter(x for i in some for x in parts[i]), Counter(p for i in some for p in zip(parts[i], parts[i][1:], strict=False))))
+    df = docs_of(spark, texts)
+    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, df.where(F.col("doc_id") % 3 == 0), slots=16).collect()}
+    assert len(got) == 33 and vocabulary > 200
+    for i, t in enumerate(parts):
+        loss = []
+        for uni, bi in models:
+            share = {x: (uni[x] + 1) / (sum(uni.values()) + vocabulary) for x in t}
+            p = [share[x] if j == 0 else w * bi[t[j - 1], x] / max(1, uni[t[j - 1]]) + (1 - w) * share[x] for j, x in enumerate(t)]
+            loss.append(-sum(map(np.log2, p)) / max(1, len(t)))
+        assert got[i]["n_tokens"] == len(t) and abs(got[i]["score"] - (loss[0] - loss[1])) < 1e-9
+
+
 def test_lm_scoring_of_odd_tables(spark):
     empty = docs_of(spark, [])
     assert lm_scoring.cross_entropy_difference(empty, empty).count() == 0
