@@ -558,6 +558,15 @@ def test_html_of_hosts(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_of_hosts_with_containers(spark):
+    """A page with a container says what recurs on its host: here in dropped blocks, and in its article."""
+    menu, notice = "Home News Sport Weather Travel Money Shop Cars", "All of these words are used under terms that nobody has read"
+    own = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    pages = [(0, "http://h.example/0", f"<div>{menu}</div><p>{own(0)}</p><div>{notice}</div>"), (1, "http://h.example/1", f"<nav>{menu}</nav><article>{own(1)}</article>"), (2, "http://h.example/2", f"<main>{own(2)}<p>{notice}</main>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {0: own(0), 1: own(1), 2: f"{own(2)} {notice}"}
+
+
 # --- rules that hold for all
 
 
