@@ -567,6 +567,29 @@ def test_html_of_hosts_with_containers(spark):
     assert got == {0: own(0), 1: own(1), 2: f"{own(2)} {notice}"}
 
 
+def test_html_cuts_repeats_only(spark):
+    """Covered tokens are those of the common prefixes of sorted suffixes, and only they go."""
+    rng, run = np.random.default_rng(4), 8
+    shared = [f"s{i}" for i in range(51)]
+    streams = [[f"a{i}" for i in range(25)] + shared + [f"b{i}" for i in range(24)], [f"c{i}" for i in range(9)] + shared]
+    streams += [words(rng, 60, 3).split() for _ in range(6)]
+    suffixes = sorted((t[i:], p, i) for p, t in enumerate(streams) for i in range(len(t)))
+    covered = [set() for _ in streams]
+    for j, (a, p, i) in enumerate(suffixes):
+        for step in (-1, 1):  # the longest prefix that the nearest suffix of another page has too
+            k = j + step
+            while 0 <= k < len(suffixes) and suffixes[k][1] == p:
+                k += step
+            if 0 <= k < len(suffixes):
+                n = next((x for x, (u, v) in enumerate(zip(a, suffixes[k][0], strict=False)) if u != v), min(len(a), len(suffixes[k][0])))
+                if n >= run:
+                    covered[p].update(range(i, i + n))
+    pages = [(p, "http://h.example/", f"<p>{' '.join(t)}</p>") for p, t in enumerate(streams)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), run=run).collect()}
+    assert any(covered[2:]) and len(got[0].split()) == 49
+    assert got == {p: " ".join(w for i, w in enumerate(t) if i not in covered[p]) for p, t in enumerate(streams)}
+
+
 # --- rules that hold for all
 
 
