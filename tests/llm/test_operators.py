@@ -527,6 +527,20 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), ~held).count() == 0
 
 
+def test_language_id_learns_each_labelled_language(spark):
+    """Also from texts that are all short or all long, however many another language has."""
+    rng = np.random.default_rng(3)
+    vocabularies = {"en": "the of and this that with from they which", "fr": "le la des est avec pour qui dans être", "xx": "zor zuv zix qaz qux vuz kyx", "yy": "mmo ommu umo nnu onno"}
+    text = lambda x, n: " ".join(str(w) for w in rng.choice(vocabularies[x].split(), n))
+    rows = [(x, text(x, n)) for x, n, many in (("en", 80, 20), ("fr", 6, 200), ("xx", 5, 3), ("yy", 1500, 2)) for _ in range(many)]
+    for some in (rows, [(x, t) for x, t in rows if len(t) < 200]):
+        df = spark.createDataFrame([(i, t, x, "s", 1) for i, (x, t) in enumerate(some)], DOCS)
+        got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, F.lit(True)).collect()}
+        assert [got[i] for i in range(len(some))] == [x for x, _ in some]
+    nothing = spark.createDataFrame([(0, "some words", None, "s", 1), (1, "12 !", None, "s", 1), (2, "中文", None, "s", 1), (3, None, None, "s", 1)], DOCS)
+    assert {r["doc_id"] for r in langid.keep_identified(nothing).collect()} == {0, 2}
+
+
 # --- HTML
 
 

@@ -141,24 +141,21 @@ class CrossParser:
 
 
 def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_chars: int, per_lang: int) -> dict[str, list[str]]:
-    """Whole labelled texts, per_lang at most of each language, chosen by a hash of the key. Only keys are ranked; texts of 4,000 characters and more are not taken."""
+    """Labelled texts, per_lang at most of each language, chosen by a hash of the key. Only keys are ranked. Texts of 200 to 3,999 characters go
+    first, then any that are not empty, so that each language with a labelled text has a sample; of a text most_chars are taken at most."""
     from pyspark.sql import Window
 
-    able = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    able = able.where(F.length("t").between(200, 3_999))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    chosen = able.select("k", "l").withColumn("rank", rank).where(F.col("rank") <= per_lang).collect()  # per_lang rows for each language
-    langs: dict[str, dict] = {}
+    able = docs.where(learn & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    able = able.withColumn("odd", ~F.length("t").between(200, 3_999))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("odd", F.xxhash64("k"), "k"))
+    chosen = able.select("k", "l", "odd").withColumn("rank", rank).where(F.col("rank") <= per_lang).collect()  # per_lang rows for each language
+    place = {}
     for r in chosen:
-        langs.setdefault(r["l"], {})[r["k"]] = r["rank"]
-    if not langs:  # nothing of a middling length: any text
-        able = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-        rows = able.limit(per_lang).collect()
-        ranked = sorted((str(r["l"]), str(r["k"]), r["t"]) for r in rows)
-    else:
-        keys = sorted({k for x in langs.values() for k in x})
-        rows = able.where(F.col("k").isin(keys)).collect()
-        ranked = sorted((r["l"], langs[r["l"]][r["k"]], r["t"]) for r in rows if r["k"] in langs.get(r["l"], {}))
+        at = (r["l"], r["k"], r["odd"])
+        place[at] = min(r["rank"], place.get(at, r["rank"]))
+    keys = sorted({k for _, k, _ in place if k is not None})
+    rows = able.where(F.col("k").isin(keys)).withColumn("t", F.substring("t", 1, most_chars)).collect() if keys else []
+    ranked = sorted((r["l"], place[at], r["t"]) for r in rows if (at := (r["l"], r["k"], r["odd"])) in place)
     rows_of = {r["l"]: r["count"] for r in docs.where(learn & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count().collect()}
     out: dict[str, list[str]] = {x: [] for x in sorted({r[0] for r in ranked}, key=lambda x: (-rows_of.get(x, 0), x))}
     for lang_, _, t in ranked:
@@ -168,10 +165,10 @@ def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_
     return out
 
 
-def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48, keep: tuple[str, ...] = (), with_text: bool = False, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """key, lang_pred, score of each row (and the columns `keep`, and the text as `_text`). The language is learned from rows where `learn` holds, from at most
-    `most_chars` characters each. The score is the share of phrases that the best language needs less than the second."""
-    texts = sample(docs, learn, key, text, lang, most_chars, per_lang)
+    `most_chars` characters each, or from the samples `texts`. The score is the share of phrases that the best language needs less than the second."""
+    texts = sample(docs, learn, key, text, lang, most_chars, per_lang) if texts is None else texts
     held: dict[int, CrossParser] = {}
 
     def rows(batches):
@@ -207,13 +204,16 @@ def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
     return src.mapInArrow(tidy(rows), ", ".join([*(f"`{c}` {kinds[c]}" for c in (src.columns if with_text else rest)), "lang_pred string, score double"]))
 
 
-def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """The rows whose language is found, with the same columns; those without a letter go. Learned from all rows with a key and a language."""
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48) -> DataFrame:
+    """The rows whose language is found, with the same columns; those without a letter go, and no others, also where no row has a language.
+    Learned from all rows with a key and a language."""
     # Columns travel under numbers, so that none clashes with what is added.
     rest = [c for c in docs.columns if c != text]
     plain = docs.select(F.col(text).alias("t"), F.col(key).alias("k"), F.col(lang).alias("l"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
-    named = identify(plain, F.col("k").isNotNull(), "k", "t", "l", keep=tuple(f"c{i}" for i in range(len(rest))), with_text=True, **options)
-    kept = named.where("lang_pred <> 'und'")
+    learn = F.col("k").isNotNull()
+    texts = sample(plain, learn, "k", "t", "l", most_chars, per_lang)
+    named = identify(plain, learn, "k", "t", "l", keep=tuple(f"c{i}" for i in range(len(rest))), with_text=True, texts=texts)
+    kept = named.where("lang_pred <> 'und'" if texts else r"_text RLIKE '\\p{L}'")
     back = {c: f"c{i}" for i, c in enumerate(rest)} | {text: "_text"}
     return kept.select(*[F.col(back[c]).alias(c) for c in docs.columns])
 
