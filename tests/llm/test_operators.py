@@ -134,6 +134,15 @@ def test_license_scan_is_brute_force(spark):
         assert got[i]["labels"] == ",".join(sorted(found)) and abs(got[i]["score"] - best) < 1e-12
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0."]
+    texts = ["\n".join(bsd), "/*\n * " + "\n * ".join(["Head", "", *bsd, "", "Tail"]) + "\n */", "\r\n".join(f"# {x}" for x in mpl), "\n\n".join(bsd), "\n".join([*(["filler words"] * 9), *bsd[:1], *(["other words"] * 9), *bsd[1:]])]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert [got[i]["labels"] for i in range(5)] == ["bsd", "bsd", "mpl", "", ""]
+    assert got[0]["score"] == got[1]["score"] == 1 and abs(got[2]["score"] - 14 / 16) < 0.1 and got[3]["score"] == 0
+
+
 def test_license_scan_of_repeated_and_no_rows(spark):
     two = docs_of(spark, ["mit license mit license"]).unionByName(docs_of(spark, ["mit license mit license"]))
     assert [r["n_base"] for r in licenses.scan(two).collect()] == [2, 2]

@@ -3,7 +3,9 @@
 The tokens that templates use are ordered by their frequency in the whole corpus, rarest first. A block holds a template when it has at
 least ceil(threshold x size) of the template's tokens, so it must have one of the first size - needed + 1 of them (the prefix); it must be
 long enough (length filter), and what can still follow the first shared token on either side must suffice (positional filter). Blocks that
-pass are verified by the exact intersection. Phrases are templates whose threshold is 1 and whose block is the whole text; a text that
+pass are verified by the exact intersection. Blocks are the lines, and what a hard wrap parts: in a paragraph of several lines (up to a line
+without words) every run of as many words as the template has, across line ends, that holds as large a share of its pairs of words too;
+a line that holds a template comes before such runs. Phrases are templates whose threshold is 1 and whose block is the whole text; a text that
 holds all tokens of a phrase is then searched for the words in a row. Built of DataFrame functions only.
 
 Defined results: a null or empty text has no words, no labels and score 0; equal rows give equal results each; a null doc_id is kept.
@@ -39,6 +41,8 @@ NOTICES = (
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: Where paragraphs end: lines without a word, whatever marks of comments they have.
+PARAGRAPH = rf"\n{BREAK}*\n"
 
 
 def _tokens(block: Column) -> Column:
@@ -48,13 +52,13 @@ def _tokens(block: Column) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, notices: Sequence[tuple[str, str]] = NOTICES, threshold: float = 0.8) -> DataFrame:
     """Per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    The score is the largest share of a notice's tokens that one line of the text holds, and 1 with a base phrase; below the
+    The score is the largest share of a notice's tokens that one line of the text, or one run of words of a paragraph, holds, and 1 with a base phrase; below the
     threshold it is 0.
     """
     phrases = PHRASES if phrases is None else phrases
     spark = docs.sparkSession
-    templates = [(i, label, sorted(set(body.split())), threshold, False) for i, (label, body) in enumerate(notices)]
-    templates += [(len(templates) + i, label, sorted(set(p.split())), 1.0, True) for i, (p, label) in enumerate(phrases.items())]
+    templates = [(i, label, sorted(set(body.split())), threshold, False, body.split()) for i, (label, body) in enumerate(notices)]
+    templates += [(len(templates) + i, label, sorted(set(p.split())), 1.0, True, p.split()) for i, (p, label) in enumerate(phrases.items())]
     vocabulary = sorted({w for t in templates for w in t[2]})
     words = F.array(*map(F.lit, vocabulary))
 
@@ -64,20 +68,22 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
 
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     prefixes, lengths = [], []
-    for i, label, body, c, whole in templates:
+    for i, label, body, c, whole, said in templates:
         ordered = sorted(body, key=rank.get)
         need = math.ceil(c * len(ordered) - 1e-9)
         prefixes += [(i, w, p) for p, w in enumerate(ordered[: len(ordered) - need + 1])]
-        lengths.append((i, label, ordered, need, len(ordered), whole))
+        two = sorted({f"{a} {b}" for a, b in zip(said, said[1:], strict=False)})
+        lengths.append((i, label, ordered, need, len(ordered), whole, len(said), two, math.ceil(c * len(two) - 1e-9)))
     prefix = spark.createDataFrame(prefixes, "tid int, token string, at int")
-    known = spark.createDataFrame(lengths, "tid int, label string, template array<string>, need int, size int, whole boolean")
+    known = spark.createDataFrame(lengths, "tid int, label string, template array<string>, need int, size int, whole boolean, long int, pairs array<string>, need_pairs int")
     ordered_words = F.array(*map(F.lit, sorted(vocabulary, key=rank.get)))
     first = F.array(*map(F.lit, sorted({w for _, w, _ in prefixes}, key=rank.get)))
 
-    # Blocks: each line, and the whole text for phrases, whose words may stand on both sides of a line's end.
+    # Blocks: each line, paragraphs of several lines, and the whole text for phrases, whose words may stand on both sides of a line's end.
     hit = src.where(F.arrays_overlap(_tokens(F.col("t")), first))
-    lines = hit.select("k", "h", F.explode(F.split("t", "\n")).alias("body"), F.lit(False).alias("all"))
-    blocks = lines.unionByName(hit.select("k", "h", F.col("t").alias("body"), F.lit(True).alias("all")))
+    lines = hit.select("k", "h", F.explode(F.split("t", "\n")).alias("body"), F.lit(False).alias("all"), F.lit(False).alias("wrapped"))
+    paragraphs = hit.where(F.contains("t", F.lit("\n"))).select("k", "h", F.explode(F.split("t", PARAGRAPH)).alias("body"), F.lit(False).alias("all"), F.lit(True).alias("wrapped")).where(F.contains("body", F.lit("\n")))
+    blocks = lines.unionByName(paragraphs).unionByName(hit.select("k", "h", F.col("t").alias("body"), F.lit(True).alias("all"), F.lit(False).alias("wrapped")))
     held = blocks.withColumn("held", F.array_intersect(ordered_words, _tokens(F.col("body"))))  # in the global order
     starts = held.withColumn("token", F.explode(F.array_intersect("held", first)))
     pairs = starts.join(F.broadcast(prefix), "token").join(F.broadcast(known), "tid").where(F.col("whole") == F.col("all"))
@@ -86,18 +92,30 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
     overlap = F.size(F.array_intersect("held", "template"))
     found = pairs.where((F.size("held") >= F.col("need")) & (most >= F.col("need"))).where(overlap >= F.col("need"))
 
+    # In a paragraph that holds enough of a notice's tokens, the run of words that holds most of them. As a run may mix two lines that have nothing
+    # to do with each other, it must hold as large a share of the notice's pairs of words too. Explode keeps each array from being computed twice.
+    once = lambda c: F.explode(F.array(c))
+    stream = F.filter(F.split(F.lower("body"), BREAK + "+"), lambda x: x != "")
+    begin = F.sequence(F.lit(1), F.greatest(F.size("stream") - F.col("long") + 1, F.lit(1)))
+    two = F.zip_with(F.slice("stream", 1, F.size("stream") - 1), F.slice("stream", 2, F.size("stream")), lambda x, y: F.concat_ws(" ", x, y))
+    held_in = lambda c, i, n, of: F.size(F.array_intersect(F.slice(c, i, n), of))
+    runs = F.transform(begin, lambda i: F.when(held_in("two", i, F.col("long") - 1, "pairs") >= F.col("need_pairs"), held_in("stream", i, F.col("long"), "template")).otherwise(0))
+    found = found.withColumn("stream", once(F.when(F.col("wrapped"), stream))).withColumn("two", once(F.when(F.col("wrapped"), two)))
+    found = found.withColumn("most", once(F.when(F.col("wrapped"), F.array_max(runs)).otherwise(overlap))).where(F.col("most") >= F.col("need"))
+
     # A text that holds all tokens of a phrase is searched for its words in a row. Equal rows count once here.
     ids = {t[0]: p.split() for t, p in zip(templates[len(notices) :], phrases, strict=True)}
     pattern, n = F.lit(None).cast("string"), F.lit(0)
     for i, p in ids.items():
         pattern, n = F.when(F.col("tid") == i, F.lit(f"(?i)(?<!{WORD}){(BREAK + '+').join(p)}(?!{WORD})")).otherwise(pattern), F.when(F.col("tid") == i, F.lit(len(p))).otherwise(n)
     parts = F.when(F.col("all"), F.split("body", pattern))
-    seen = found.select("k", "h", "tid", "label", "all", (overlap / F.col("size")).alias("share"), "body", n.alias("length"), parts.alias("parts"))
+    seen = found.select("k", "h", "tid", "label", "all", "wrapped", (F.col("most") / F.col("size")).alias("share"), "body", n.alias("length"), parts.alias("parts"))
     words_in = lambda x: F.regexp_count(x, F.lit(WORD + "+"))
     seen = seen.where(~F.col("all") | (F.size("parts") > 1)).select(
-        "k", "h", "tid", "label", "all", "share", (F.size("parts") - 1).alias("n"), words_in(F.element_at("parts", 1)).alias("a"), (words_in(F.col("body")) - words_in(F.element_at("parts", -1)) - F.col("length")).alias("z")
+        "k", "h", "tid", "label", "all", "wrapped", "share", (F.size("parts") - 1).alias("n"), words_in(F.element_at("parts", 1)).alias("a"), (words_in(F.col("body")) - words_in(F.element_at("parts", -1)) - F.col("length")).alias("z")
     )
-    by_template = seen.groupBy("k", "h", "tid", "label", "all").agg(F.max("share").alias("share"), F.max("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
+    share = F.coalesce(F.max(F.when(~F.col("wrapped"), F.col("share"))), F.max("share"))  # a line that holds a notice comes before what is wrapped
+    by_template = seen.groupBy("k", "h", "tid", "label", "all").agg(share.alias("share"), F.max("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
     by_text = by_template.groupBy("k", "h").agg(
         F.sum(F.when(F.col("all"), F.col("n"))).alias("n_base"), F.min(F.when(F.col("all"), F.col("a"))).alias("first_word"), F.max(F.when(F.col("all"), F.col("z"))).alias("last_word"),
         F.collect_set(F.when(F.col("all"), F.col("label"))).alias("base"), F.collect_set("label").alias("every"), F.max("share").alias("share"),
