@@ -209,6 +209,16 @@ def test_jaccard_join_of_odd_tables(spark):
     assert {r["component_id"] for r in jaccard_join.link_sets(no_key).collect()} == {3}
 
 
+def test_jaccard_join_through_a_row_without_a_key(spark):
+    base = [f"w{i}" for i in range(200)]
+    change = lambda t, at: " ".join("new" if i in at else w for i, w in enumerate(t))
+    middle = change(base, set())
+    one, two = change(base, {10, 30, 50, 70}), change(base, {110, 130, 150, 170})
+    rows = [(1, one, "en", "s", 1), (None, middle, "en", "s", 1), (None, middle, "en", "s", 1), (3, two, "en", "s", 1)]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.link_sets(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == [(1, 1), (3, 1), (None, 1), (None, 1)]
+
+
 def test_bitmap_is_a_lower_bound():
     rng = np.random.default_rng(2)
     for n, m in ((10, 12), (300, 290), (1000, 1300)):
