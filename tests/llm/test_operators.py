@@ -178,8 +178,11 @@ def test_jaccard_join(spark, corpus):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == linked(corpus)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_jaccard_join_near_the_threshold(spark, rounds):
+@pytest.mark.parametrize(("cell", "group"), [(2_048, 200_000), (6, 200_000), (2_048, 2), (6, 2)])
+def test_jaccard_join_near_the_threshold(spark, monkeypatch, cell, group):
+    """Whole blocks, blocks in parts, and groups that are passed on as a stream."""
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
     rng = np.random.default_rng(9)
     base = words(rng, 90, 10_000).split()
     texts = [" ".join(base)]
@@ -188,10 +191,63 @@ def test_jaccard_join_near_the_threshold(spark, rounds):
         for j in rng.integers(0, 90, 1 + i % 4):
             w[int(j)] = f"x{i}"
         texts.append(" ".join(w[: 90 - int(rng.integers(0, 12))]))
-    got = jaccard_join.link_sets(docs_of(spark, texts), rounds=rounds).collect()
+    got = jaccard_join.link_sets(docs_of(spark, texts)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == linked(texts)
 
 
+@pytest.mark.parametrize("most", [40, 400])
+def test_prefix_tree(most):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, most, most // 2)).astype(np.uint64) << np.uint64(50 + i % 3) for i in range(60)]
+    sets += [np.sort(rng.choice(s, len(s) - 1 - i % 9, replace=False)) for i, s in enumerate(sets)]
+    sets = [np.array(x, np.uint64) for x in sorted({tuple(s.tolist()) for s in sets})]
+    full = [set(s.tolist()) for s in sets]
+    tree, every = jaccard_join.PrefixTree(sets), np.arange(len(sets))
+    link = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    for i, s in enumerate(full):
+        got = tree.linked(i, every[every != i], 75, 100)
+        assert sorted(got.tolist()) == [j for j, t in enumerate(full) if j != i and link(s, t)]
+    ids, root = jaccard_join.unite(list(range(len(sets))), [None] * len(sets), sets, 75, 100)
+    top = {i: i for i in range(len(sets))} | dict(zip(ids.tolist(), root.tolist(), strict=True))
+    for i, s in enumerate(full):
+        assert all(top[i] == top[j] for j, t in enumerate(full) if link(s, t)) and top[top[i]] == top[i]
+
+
+def test_partners_of_a_group():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        z = int(rng.integers(1, 12))
+        n = np.sort(rng.integers(5, 40, z))
+        pos = (rng.random(z) * (n - -(-n * 75 // 100) + 1)).astype(int)
+        want = [any(i != j and 175 * min(n[i] - pos[i], n[j] - pos[j]) >= 75 * (n[i] + n[j]) for j in range(z)) for i in range(z)]
+        assert jaccard_join.partners(n, pos, 75, 100).tolist() == want
+
+
+def thue_morse(n):
+    """Two texts of n letters that every polynomial hash modulo a power of two takes for one, where n is large enough."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return [one, one.translate(str.maketrans("ab", "ba"))]
+
+
+def test_jaccard_join_of_words_that_polynomials_confuse(spark):
+    texts = thue_morse(2048) + thue_morse(1024)
+    rows = jaccard_join.link_sets(docs_of(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i for i in range(4)}
+
+
+def test_columns_of_any_names_are_kept(spark):
+    """The stages of the pipeline put up with columns named like those that they add."""
+    names = ["k", "k2", "u", "u2", "c", "t", "n", "comp", "component_id", "starts", "i", "h", "lang_pred", "score", "_text", "c0", "c1", "K9"]
+    long = " ".join(f"w{i}" for i in range(90))
+    docs = docs_of(spark, [long, long, "some other words that stand alone here", long + " and an end of its own " + " ".join(f"v{i}" for i in range(200)), "", None]).selectExpr("*", *[f"{i} AS `{x}`" for i, x in enumerate(names)])
+    items = spark.createDataFrame([("x", "words that stand alone here")], "item_id string, text string")
+    for stage in (langid.keep_identified, jaccard_join.keep_one, suffix_dedup.clean, lambda d: decontam.clean(d, items)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[x] for x in names] == list(range(len(names)))
+
+
 def test_jaccard_join_without_broadcasts(spark, corpus, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", -1)
     rows = jaccard_join.link_sets(docs_of(spark, corpus)).collect()
@@ -219,14 +275,6 @@ def test_jaccard_join_through_a_row_without_a_key(spark):
     assert sorted(got, key=str) == [(1, 1), (3, 1), (None, 1), (None, 1)]
 
 
-def test_bitmap_is_a_lower_bound():
-    rng = np.random.default_rng(2)
-    for n, m in ((10, 12), (300, 290), (1000, 1300)):
-        a, b = rng.integers(0, 1 << 60, n).astype(np.uint64), rng.integers(0, 1 << 60, m).astype(np.uint64)
-        b[: n // 2] = a[: n // 2]
-        assert jaccard_join.difference(jaccard_join.parity_bitmap(a), jaccard_join.parity_bitmap(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
-
-
 # --- suffix-array dedup
 
 

@@ -36,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, names: dict[str, str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with columns under the given names, and c0, c1, ... for the others, so that none clashes with what is added; and what gives them back."""
+    new = [names.get(c, f"c{i}") for i, c in enumerate(df.columns)]
+    return df.toDF(*new), lambda out: out.select(*new).toDF(*df.columns)
+
+
 def crc_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo the number of folds; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(folds)

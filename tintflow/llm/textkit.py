@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _MIX1, _MIX2, _MIX3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -80,13 +81,33 @@ class Words:
         self.start, self.end = starts, ends
         self.first = np.searchsorted(starts, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        up, down = powers(n + 1)
-        with np.errstate(over="ignore"):
-            weighed = _BYTE[buf if fold is None else fold[buf]]
-            weighed *= up[:n]
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(weighed, out=total[1:])
-            self.hash = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX3)
+        self.hash = span_hashes(buf if fold is None else fold[buf], starts, ends)
+
+
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: eight bytes at a time, each mixed into what came before; of long spans xxh3."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    lanes = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place
+    length = end - start
+    with np.errstate(over="ignore"):
+        out = mix((length.astype(np.uint64) + U(1)) * _MIX3)
+        some = np.flatnonzero((length > 0) & (length <= LONG_WORD))
+        for k in range(0, LONG_WORD, 8):
+            some = some[length[some] > k]
+            if not len(some):
+                break
+            lane = lanes[start[some] + k]
+            missing = np.maximum(8 - (length[some] - k), 0).astype(np.uint64) * U(8)
+            lane = (lane << missing) >> missing
+            out[some] = mix((out[some] ^ mix(lane + _MIX3)) * _MIX1)
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(padded[start[i] : end[i]])
+    return out
 
 
 def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
