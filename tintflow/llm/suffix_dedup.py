@@ -13,22 +13,24 @@ agree on `length` bytes have to meet, and they are sorted in buckets, a bucket a
 
 Nothing is kept of all suffixes but runs (about 1.5 % of the bytes), and a task's memory is bounded by its block.
 
-Runs and rows are told apart by 64-bit hashes, runs by those of their bucket and of their bytes together. Defined results: a null text
-counts as empty; texts shorter than `length` lose nothing; of equal texts of that length or more all bytes are removed, in each row.
+Runs and texts are taken for equal by 128-bit xxh3 digests of their bytes; the rolling hash only chooses minimizers and deals rows. A row's
+mark, 64 bits, is tried against the texts' SHA-256 and drawn anew should two texts share one. Defined results: a null text counts as empty;
+texts shorter than `length` lose nothing; of equal texts of that length or more all bytes are removed, in each row.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import cut, numbered, tidy
 from .textkit import _BYTE, U, byte_chunks, mix, powers
 
 M = 64  # bytes of a minimizer, and of what is sorted before the cover's ranks are asked
@@ -38,6 +40,8 @@ BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 19
 #: Windows that are sorted at a time.
 AT_ONCE = 1 << 18
+#: Digests that a task remembers, to send copies once; then it forgets them all, and sends again.
+REMEMBERED = 1 << 19
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -73,12 +77,18 @@ def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 128-bit digests of spans of bytes, as two columns of whole numbers."""
+    data = memoryview(np.ascontiguousarray(buf))
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
 def runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text number, first window in its text, number of windows, bucket, hash of the bytes, whether the minimizer occurs more than once) of each run."""
+    """(text number, first window in its text, number of windows, bucket, first byte in the buffer, whether the minimizer occurs more than once) of each run."""
     w = length - M + 1
     n = len(buf) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
     total = prefix_hash(buf)
     at = np.arange(len(buf) - M + 1)
     gram = span_hash(total, at, at + M)
@@ -100,7 +110,7 @@ def runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
         first[i : i + 2048] = s + np.argmax(gram[s[:, None] + step] == v, axis=1)
         last[i : i + 2048] = e + w - 1 - np.argmax(gram[e[:, None] + step[::-1]] == v, axis=1)
     d = doc[start]
-    return d, start - offsets[d], size, bucket, span_hash(total, start, start + size + length - 1), first != last
+    return d, start - offsets[d], size, bucket, start, first != last
 
 
 @lru_cache(1)
@@ -213,22 +223,23 @@ def _find_runs(src: DataFrame, length: int) -> DataFrame:
     """(kind, bucket, u, start, size): kind 0 runs that occur again, 1 runs to be read, 2 runs that 1 is to be compared with."""
 
     def emit(batches):
-        seen: set[int] = set()  # texts that this task has read: copies are removed whole anyway
+        seen: set[bytes] = set()  # texts that this task has read: copies are removed whole anyway
         for b in batches:
             us = b.column(0).to_numpy()
             for lo, hi, buf, offsets in byte_chunks(b.column(1)):
-                doc, start, size, bucket, full, multi = runs(buf, offsets, length)
-                texts = span_hash(prefix_hash(buf), offsets[:-1], offsets[1:]).tolist()
-                new = np.array([not (t in seen or seen.add(t)) for t in texts], bool)
-                ok = new[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[ok].view(np.int64)), pa.array(full[ok].view(np.int64)), pa.array(us[lo:hi][doc[ok]]), pa.array(start[ok].astype(np.int32)), pa.array((size[ok] * 2 + multi[ok]).astype(np.int32))], names=["bucket", "full", "u", "start", "size"]
-                )
+                doc, start, size, bucket, at, multi = runs(buf, offsets, length)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                texts = [xxhash.xxh3_128_digest(buf[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                ok = np.array([not (t in seen or seen.add(t)) for t in texts], bool)[doc]
+                full = digests(buf, at[ok], at[ok] + size[ok] + length - 1)
+                columns = [bucket[ok].view(np.int64), full[:, 0], full[:, 1], us[lo:hi][doc[ok]], start[ok].astype(np.int32), (size[ok] * 2 + multi[ok]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["bucket", "full", "more", "u", "start", "size"])
 
     def count(batches):
         rest = None
         for b in _end(batches):
-            cols = [np.zeros(0, np.int64)] * 5 if b is None else [b.column(i).to_numpy() for i in range(5)]
+            cols = [np.zeros(0, np.int64)] * 6 if b is None else [b.column(i).to_numpy() for i in range(6)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             n = len(cols[0])
@@ -239,12 +250,12 @@ def _find_runs(src: DataFrame, length: int) -> DataFrame:
                 differ = np.flatnonzero(cols[0][1:] != cols[0][:-1])
                 edge = int(differ[-1]) + 1 if len(differ) else 0
             rest = [x[edge:] for x in cols]
-            bucket, full, u, start, size = (x[:edge] for x in cols)
+            bucket, full, more, u, start, size = (x[:edge] for x in cols)
             if not len(bucket):
                 continue
             multi, size = size % 2 == 1, size // 2
             head = np.r_[True, bucket[1:] != bucket[:-1]]
-            lead = head | np.r_[True, full[1:] != full[:-1]]
+            lead = head | np.r_[True, (full[1:] != full[:-1]) | (more[1:] != more[:-1])]
             kinds = np.cumsum(lead) - 1
             again = (np.bincount(kinds) > 1)[kinds]
             group = np.cumsum(head) - 1
@@ -255,8 +266,8 @@ def _find_runs(src: DataFrame, length: int) -> DataFrame:
                 if some.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), kind, np.int32)), pa.array(bucket[some]), pa.array(u[some]), pa.array(start[some].astype(np.int32)), pa.array(size[some].astype(np.int32))], names=["kind", "bucket", "u", "start", "size"])
 
-    dealt = src.select("u", "t").mapInArrow(tidy(emit), "bucket long, full long, u long, start int, size int")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "full", "u", "start").mapInArrow(tidy(count), "kind int, bucket long, u long, start int, size int")
+    dealt = src.select("u", "t").mapInArrow(tidy(emit), "bucket long, full long, more long, u long, start int, size int")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "full", "more", "u", "start").mapInArrow(tidy(count), "kind int, bucket long, u long, start int, size int")
 
 
 def _cut_out(length: int):
@@ -264,7 +275,7 @@ def _cut_out(length: int):
     reach = (length - M) // 2
 
     def cut_out(batches):
-        seen: dict[tuple[int, int], bool] = {}  # (bucket, bytes) that this task has sent, and whether with a second run for company
+        seen: dict[tuple[int, bytes], bool] = {}  # (bucket, digest of the bytes) that this task has sent, and whether with a second run for company
         for b in batches:
             for first in range(0, b.num_rows, 64):
                 out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
@@ -288,9 +299,11 @@ def _cut_out(length: int):
                     if parts:
                         start, end, side, x, y, bucket, kind = (np.array(c, np.uint64 if i == 5 else np.int64) for i, c in enumerate(zip(*parts, strict=True)))
                         key = mix(span_hash(total, x, y) ^ mix(bucket + side.astype(np.uint64)))
-                        same = span_hash(total, start, end + length - 1)
+                        same = [xxhash.xxh3_128_digest(data[i:j]) for i, j in zip(start.tolist(), (end + length - 1).tolist(), strict=True)]
                         send = np.ones(len(parts), bool)
-                        for i, pair in enumerate(zip(key.tolist(), same.tolist(), strict=True)):
+                        if len(seen) > REMEMBERED:
+                            seen.clear()
+                        for i, pair in enumerate(zip(key.tolist(), same, strict=True)):
                             if (paired := seen.get(pair)) is None:
                                 seen[pair] = False
                             elif paired:
@@ -369,11 +382,17 @@ def _recurs(data: bytes, length: int) -> bool:
     return len(data) > length
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(rows with u, k, n_bytes, sha and `whole`; runs of windows u, start, size). `whole`: the row's text has copies and is long enough."""
-    src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    src = src.withColumn("u", F.xxhash64("k", "t"))
-    rows = cut(src.select("u", "k", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha")))
+def spans(docs: DataFrame, length: int = 200, marks: Callable[[int], Column] = lambda seed: F.xxhash64(F.lit(seed), "k", "t")) -> tuple[DataFrame, DataFrame, Column]:
+    """Of rows with columns k and t (bytes): (rows with u, k, n_bytes, sha and `whole`; runs of windows u, start, size; the mark of a row).
+    `whole`: the row's text has copies and is long enough. A mark u stands for one text."""
+    docs = docs.select("k", "t")
+    for seed in range(64):
+        src = docs.withColumn("u", marks(seed))
+        rows = cut(src.select("u", "k", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha")))
+        if rows.groupBy("u").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").isEmpty():
+            break
+    else:
+        raise RuntimeError("different texts share each mark")
     copied = rows.where(F.col("n_bytes") >= length).groupBy("sha").count().where("count > 1").select(F.col("sha").alias("sha2"))
     rows = rows.join(copied, F.col("sha") == F.col("sha2"), "left").select("u", "k", "n_bytes", "sha", F.col("sha2").isNotNull().alias("whole"))
     long = src.where(F.octet_length("t") >= length)
@@ -384,7 +403,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     chosen = long.join(maybe_broadcast(wanted.select("u"), n), "u", "left_semi").select("u", "t").dropDuplicates(["u"]) if n else long.select("u", "t").limit(0)
     pieces = chosen.join(wanted, "u").select("u", "t", "wanted").mapInArrow(tidy(_cut_out(length)), "key long, u long, start int, kind int, bytes binary")
     decided = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_decide(length)), "u long, start int, size int")
-    return rows, found.where("kind = 0").select("u", "start", "size").unionByName(decided)
+    return rows, found.where("kind = 0").select("u", "start", "size").unionByName(decided), marks(seed)
 
 
 def removed_intervals(starts: np.ndarray, sizes: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -410,11 +429,12 @@ def _without(data: bytes, starts: pa.Scalar, sizes: pa.Scalar, length: int) -> t
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    rows, found = spans(docs, key, text, length)
+    src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    rows, found, mark = spans(src, length)
     rows = cut(rows)
     listed = _listed(rows, found)
     n = listed.count()
-    src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).withColumn("u", F.xxhash64("k", "t"))
+    src = src.withColumn("u", mark)
     hit = src.join(maybe_broadcast(listed.select("u"), n), "u", "left_semi").select("u", "t").dropDuplicates(["u"]) if n else src.select("u", "t").limit(0)
     schema = pa.schema([("u2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -436,22 +456,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", length: int = 200) -> DataFrame:
-    """All rows with what remains of their texts (cut characters are left out), and the number of its characters where there is such a column."""
-    rows, found = spans(docs, key, text, length)
+    """All rows with what remains of their texts (cut characters are left out), and the number of its characters where there is such a column. A null
+    text stays null, and equal rows lose the same each. Columns of any names are kept as they are."""
+    plain, back = numbered(docs, {key: "k", text: "words"} | ({n_chars: "n"} if n_chars in docs.columns else {}))
+    plain = plain.withColumn("t", F.coalesce("words", F.lit("")).cast("binary"))
+    rows, found, mark = spans(plain, length)
     rows = cut(rows)
     listed = _listed(rows, found)
     wholly = rows.where("whole").select("u").distinct()
-    touched = cut(listed.select(F.col("u").alias("u2"), "starts", "sizes").unionByName(wholly.select(F.col("u").alias("u2"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("sizes"))))
+    touched = cut(listed.select("u", "starts", "sizes").unionByName(wholly.select("u", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("sizes"))))
     n = touched.count()
-    mark = F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    same = docs.join(maybe_broadcast(touched.select("u2"), n), mark == F.col("u2"), "left_anti")
     if not n:
-        return same
-    columns = docs.columns
-    hit = docs.join(maybe_broadcast(touched.select("u2"), n), mark == F.col("u2"), "left_semi")
-    plain = hit.select(mark.alias("u"), F.col(text).cast("binary").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c not in (text, n_chars)])
-    plain = plain.join(touched, F.col("u") == F.col("u2")).drop("u", "u2")
-    rest = [c for c in plain.columns if re.fullmatch(r"c\d+", c)]
+        return docs
+    plain = plain.withColumn("u", mark)
+    same = plain.join(maybe_broadcast(touched.select("u"), n), "u", "left_anti")
+    hit = plain.join(maybe_broadcast(touched.select("u"), n), "u", "left_semi").join(touched, "u")
+    rest = [c for c in plain.columns if c not in ("u", "t", "words", "n")]
     kinds = dict(plain.dtypes)
 
     def shorten(batches):
@@ -459,8 +479,9 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
             texts = []
             for t, starts, sizes in zip(*(b.column(i) for i in range(3)), strict=True):
                 texts.append("" if starts.as_py() is None else _without(t.as_py(), starts, sizes, length)[0].decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[3:]], names=["t", *rest])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[3:]], names=["words", *rest])
 
-    short = plain.select("t", "starts", "sizes", *rest).mapInArrow(tidy(shorten), ", ".join(["t string", *(f"{c} {kinds[c]}" for c in rest)]))
-    back = [F.col("t").alias(c) if c == text else F.length("t").cast(dict(docs.dtypes)[c]).alias(c) if c == n_chars else F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
-    return same.unionByName(short.select(*back))
+    short = hit.select("t", "starts", "sizes", *rest).mapInArrow(tidy(shorten), ", ".join(["words string", *(f"{c} {kinds[c]}" for c in rest)]))
+    if "n" in kinds:
+        short = short.withColumn("n", F.length("words").cast(kinds["n"]))
+    return back(same.drop("u", "t").unionByName(short))
