@@ -1,12 +1,15 @@
 """Language identification by cross-parsing.
 
 For each language a suffix automaton holds labelled text. A text is parsed greedily against each automaton: a phrase is the longest match
-that starts where the last one ended, and the language with the fewest phrases per symbol wins (ties: the one with more labelled rows, then the first in name order). A text is
-parsed in pieces of `piece` symbols, all pieces and languages side by side, so that the work is a few numpy steps whatever the lengths are;
-a phrase ends with its piece. Case is folded, and a run of bytes that are no letters counts as one space.
+that starts where the last one ended. Phrases grow with the logarithm of the text that an automaton holds, so a language's number of phrases
+is weighed by it: phrases x log2(symbols held) / symbols parsed estimates the cross-entropy in bits, and the language of the fewest
+normalised phrases wins (ties: the one with more labelled rows, then the first in name order). A text is parsed in pieces of `piece`
+symbols, all pieces and languages side by side, so that the work is a few numpy steps whatever the lengths are; a phrase ends with its piece.
+Case is folded, and a run of bytes that are no letters counts as one space. The automata are built once, in the driver, and broadcast; what
+they hold is bounded (`most_chars` a language, `all_chars` together), and so is their table.
 
 Defined results: a null text, and one without a letter, gives `und` and score 0; so does every text where nothing is labelled. A text
-whose letters no language has seen gives the first language and score 0. Repeated rows are each predicted.
+whose letters no language has seen gives the first language and score 0. Repeated rows are each predicted, very long texts as a whole.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import numbered, tidy
 from .textkit import byte_chunks
 
 #: Classes of bytes: 0 is anything but a letter, 1..26 are a..z, the rest are the bytes of other characters.
@@ -100,6 +103,7 @@ class CrossParser:
             self.root.append(base)
             base += len(step)
         self.width = width
+        self.weight = np.log2([max(2, len(t)) for t in texts]) if texts else np.zeros(0)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, s: np.ndarray, offsets: np.ndarray, piece: int = 512) -> np.ndarray:
@@ -140,9 +144,10 @@ class CrossParser:
         return out
 
 
-def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_chars: int, per_lang: int) -> dict[str, list[str]]:
+def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_chars: int, per_lang: int, all_chars: int = 200_000) -> dict[str, list[str]]:
     """Labelled texts, per_lang at most of each language, chosen by a hash of the key. Only keys are ranked. Texts of 200 to 3,999 characters go
-    first, then any that are not empty, so that each language with a labelled text has a sample; of a text most_chars are taken at most."""
+    first, then any that are not empty, so that each language with a labelled text has a sample; of a text most_chars are taken at most, or an
+    equal share of all_chars where there are many languages."""
     from pyspark.sql import Window
 
     able = docs.where(learn & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
@@ -158,24 +163,26 @@ def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_
     ranked = sorted((r["l"], place[at], r["t"]) for r in rows if (at := (r["l"], r["k"], r["odd"])) in place)
     rows_of = {r["l"]: r["count"] for r in docs.where(learn & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count().collect()}
     out: dict[str, list[str]] = {x: [] for x in sorted({r[0] for r in ranked}, key=lambda x: (-rows_of.get(x, 0), x))}
+    share = max(1, min(most_chars, all_chars // max(1, len(out))))
     for lang_, _, t in ranked:
         have = out[lang_]
-        if not have or sum(map(len, have)) + len(t) <= most_chars:
-            have.append(t)
+        if not have or sum(map(len, have)) + len(t) <= share:
+            have.append(t[:share])
     return out
 
 
 def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48, keep: tuple[str, ...] = (), with_text: bool = False, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """key, lang_pred, score of each row (and the columns `keep`, and the text as `_text`). The language is learned from rows where `learn` holds, from at most
-    `most_chars` characters each, or from the samples `texts`. The score is the share of phrases that the best language needs less than the second."""
+    """key, lang_pred, score, bits of each row (and the columns `keep`, and the text as `_text`). The language is learned from rows where `learn` holds, from at most
+    `most_chars` characters each, or from the samples `texts`. The score is the share of normalised phrases that the best language needs less than the
+    second; bits is the cross-entropy that its phrases estimate, in bits a symbol."""
     texts = sample(docs, learn, key, text, lang, most_chars, per_lang) if texts is None else texts
-    held: dict[int, CrossParser] = {}
+    shared = docs.sparkSession.sparkContext.broadcast(CrossParser(texts))
 
     def rows(batches):
-        parser = held.setdefault(0, CrossParser(texts))
+        parser = shared.value
         names = np.array([*parser.langs, "und"], object)
         for b in batches:
-            pred, score = [np.zeros(0, object)], [np.zeros(0)]
+            pred, score, bits = [np.zeros(0, object)], [np.zeros(0)], [np.zeros(0)]
             texts_ = b.column(0)
             low = pa.compute.utf8_lower(texts_.fill_null(""))
             for lo, hi, buf, offsets in byte_chunks(low):
@@ -183,39 +190,39 @@ def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
                 lettered = _has_letter(texts_, lo, buf, offsets, s, at)
                 n = hi - lo
                 if not parser.langs:
-                    pred.append(np.full(n, "und", object)), score.append(np.zeros(n))
+                    pred.append(np.full(n, "und", object)), score.append(np.zeros(n)), bits.append(np.zeros(n))
                     continue
-                count = parser.phrases(s, at)
-                best = np.argmin(count, axis=1)
+                need = parser.phrases(s, at) * parser.weight
+                best = np.argmin(need, axis=1)
+                bits.append(np.maximum(need - parser.weight, 0).min(axis=1) / np.maximum(np.diff(at), 1))  # but for the phrase that the text's end cuts
                 if len(parser.langs) > 1:
-                    two = np.partition(count, 1, axis=1)[:, :2].astype(float)
+                    two = np.partition(need, 1, axis=1)[:, :2]
                     sure = 1 - two[:, 0] / np.maximum(two[:, 1], 1)
                 else:
                     sure = np.ones(n)
                 pred.append(names[np.where(lettered, best, len(parser.langs))])
                 score.append(np.where(lettered, sure, 0.0))
-            out = [pa.array(np.concatenate(pred), pa.string()), pa.array(np.clip(np.concatenate(score), 0, 1), pa.float64())]
+            out = [pa.array(np.concatenate(pred), pa.string()), pa.array(np.clip(np.concatenate(score), 0, 1), pa.float64()), pa.array(np.concatenate(bits), pa.float64())]
             first = 0 if with_text else 1
-            yield pa.RecordBatch.from_arrays([*b.columns[first:], *out], names=[*b.schema.names[first:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[first:], *out], names=[*b.schema.names[first:], "lang_pred", "score", "bits"])
 
     rest = [c for c in dict.fromkeys([key, *keep]) if c != text]
     src = docs.select(F.col(text).alias("_text"), *rest)
     kinds = dict(src.dtypes)
-    return src.mapInArrow(tidy(rows), ", ".join([*(f"`{c}` {kinds[c]}" for c in (src.columns if with_text else rest)), "lang_pred string, score double"]))
+    return src.mapInArrow(tidy(rows), ", ".join([*(f"`{c}` {kinds[c]}" for c in (src.columns if with_text else rest)), "lang_pred string, score double, bits double"]))
 
 
-def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48) -> DataFrame:
-    """The rows whose language is found, with the same columns; those without a letter go, and no others, also where no row has a language.
-    Learned from all rows with a key and a language."""
-    # Columns travel under numbers, so that none clashes with what is added.
-    rest = [c for c in docs.columns if c != text]
-    plain = docs.select(F.col(text).alias("t"), F.col(key).alias("k"), F.col(lang).alias("l"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48, most_bits: float = 8.0) -> DataFrame:
+    """The rows whose language is found, with the same columns. Rows without a letter go, and rows that the best language does not explain: those
+    that take more than `most_bits` bits a symbol (prose takes 2 to 5, and letters at random more than 9). Learned from all rows with a key and a
+    language; where there are none, the rows with a letter stay. Columns of any names are kept as they are."""
+    plain, back = numbered(docs, {key: "k", text: "t", lang: "l"})
     learn = F.col("k").isNotNull()
     texts = sample(plain, learn, "k", "t", "l", most_chars, per_lang)
-    named = identify(plain, learn, "k", "t", "l", keep=tuple(f"c{i}" for i in range(len(rest))), with_text=True, texts=texts)
-    kept = named.where("lang_pred <> 'und'" if texts else r"_text RLIKE '\\p{L}'")
-    back = {c: f"c{i}" for i, c in enumerate(rest)} | {text: "_text"}
-    return kept.select(*[F.col(back[c]).alias(c) for c in docs.columns])
+    if not texts:
+        return back(plain.where(r"t RLIKE '\\p{L}'"))
+    named = identify(plain, learn, "k", "t", "l", keep=tuple(c for c in plain.columns if c not in ("k", "t")), with_text=True, texts=texts)
+    return back(named.where((F.col("lang_pred") != "und") & (F.col("bits") <= most_bits)).withColumnRenamed("_text", "t"))
 
 
 def _has_letter(texts: pa.Array, lo: int, buf: np.ndarray, offsets: np.ndarray, s: np.ndarray, at: np.ndarray) -> np.ndarray:
