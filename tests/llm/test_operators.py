@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -304,6 +305,26 @@ def test_suffix_dedup(spark, corpus):
     assert all(r["n_chars"] == len(r["text"] or "") for r in cleaned.collect())
 
 
+def test_suffix_dedup_of_texts_that_polynomials_confuse(spark):
+    texts = thue_morse(2048)
+    docs = docs_of(spark, texts).coalesce(1)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect()}
+    assert got == {i: w[:4] for i, w in enumerate(without_repeats(texts))} and got[0][1] == got[1][1] == 2048
+
+
+def test_suffix_dedup_draws_marks_anew(spark, corpus):
+    """Where two texts share a mark, another is drawn."""
+    src = docs_of(spark, corpus).selectExpr("doc_id AS k", "cast(coalesce(text, '') AS binary) AS t")
+    tried = []
+
+    def marks(seed):
+        tried.append(seed)
+        return F.xxhash64(F.lit(seed), "k", "t") if seed else F.lit(7).cast("long")
+
+    rows, _, _ = suffix_dedup.spans(src, 200, marks)
+    assert max(tried) == 1 and rows.select("u").distinct().count() == len(corpus)
+
+
 def test_suffix_dedup_at_the_edge(spark):
     rng = np.random.default_rng(6)
     letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
@@ -588,12 +609,28 @@ def test_language_id(spark):
     assert [rows[i]["lang_pred"] for i in (120, 121, 122)] == ["und"] * 3 and rows[123]["lang_pred"] in ("en", "fr") and rows[124]["lang_pred"] == "en"
     assert all(0 <= r["score"] <= 1 for r in rows.values())
     kept = langid.keep_identified(df)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(126)) - {120, 121, 122}
-    assert {r["text"] for r in kept.collect()} == {t for i, t in enumerate(texts) if i not in (120, 121, 122)}
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(126)) - {120, 121, 122, 123}  # 123 is in letters that no language has
+    assert {r["text"] for r in kept.collect()} == {t for i, t in enumerate(texts) if i not in (120, 121, 122, 123)}
     assert {r["lang_pred"] for r in langid.identify(df, F.lit(False)).collect()} == {"und"}
     assert langid.identify(df.limit(0), ~held).count() == 0
 
 
+def test_language_id_of_few_labels_and_gibberish(spark):
+    """A language of little labelled text is found, and what no language explains is rejected by the pipeline's stage."""
+    rng = np.random.default_rng(3)
+    en, de = "the of and to in that is was for with on as".split(), "der die und das nicht ein ist auf mit sich dem zu".split()
+    say = lambda w, n: " ".join(rng.choice(w, n))
+    texts = [(say(en, 300), "en") for _ in range(30)] + [(say(de, 9), "de") for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, (t, x) in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, F.lit(True)).collect()}
+    assert sum(got[i] == x for i, (_, x) in enumerate(texts)) >= 59
+    junk = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 400))
+    more = spark.createDataFrame([(100, junk, None, "s", 400), (101, "x", None, "s", 1), (102, "12 345", None, "s", 6), (103, None, None, "s", 0), (104, say(en, 40), None, None, 1)], DOCS)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.unionByName(more)).collect()}
+    assert kept == {*range(60), 101, 104}
+    assert {r["doc_id"] for r in langid.keep_identified(more).collect()} == {100, 101, 104}  # nothing is labelled
+
+
 def test_language_id_learns_each_labelled_language(spark):
     """Also from texts that are all short or all long, however many another language has."""
     rng = np.random.default_rng(3)
@@ -646,6 +683,38 @@ def test_html_of_hosts_with_containers(spark):
     pages = [(0, "http://h.example/0", f"<div>{menu}</div><p>{own(0)}</p><div>{notice}</div>"), (1, "http://h.example/1", f"<nav>{menu}</nav><article>{own(1)}</article>"), (2, "http://h.example/2", f"<main>{own(2)}<p>{notice}</main>")]
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {0: own(0), 1: own(1), 2: f"{own(2)} {notice}"}
+    pages.append((3, "http://h.example/3", f"<nav>{menu}</nav><article>{own(3)}</article><footer>{notice}</footer>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html_text.extract(df, cut_articles=True).collect()}
+    assert got == {0: (own(0), 20), 1: (own(1), 8), 2: (own(2), 12), 3: (own(3), 20)}
+    assert {r["page_id"]: r["text"] for r in html_text.extract(df, chunk_pages=1).collect()}.keys() == got.keys()  # a large host in parts
+
+
+def test_repeats_are_brute_force():
+    rng, run = np.random.default_rng(8), 3
+    for _ in range(40):
+        pages = [[words(rng, int(rng.integers(0, 9)), 4).split() for _ in range(int(rng.integers(0, 4)))] for _ in range(int(rng.integers(1, 6)))]
+        pages = [[b for b in p if b] for p in pages]
+        chrome = [[bool(rng.integers(0, 2)) for _ in p] for p in pages]
+        every, menu = html_text.repeats(pages, chrome, run)
+        streams = [[w for b in p for w in b] for p in pages]
+        outer = [[c for b, c in zip(p, cs, strict=True) for _ in b] for p, cs in zip(pages, chrome, strict=True)]
+        for i, s in enumerate(streams):
+            want = np.zeros((2, len(s)), bool)
+            for a in range(len(s) - run + 1):
+                first = [j for j, t in enumerate(streams) if t != s and any(t[b : b + run] == s[a : a + run] for b in range(len(t) - run + 1))]
+                want[0, a : a + run] |= bool(first)
+                # Pages of the same tokens are one, read as the first of them.
+                as_chrome = [j for j in first if streams.index(streams[j]) == j and any(streams[j][b : b + run] == s[a : a + run] and all(outer[j][b : b + run]) for b in range(len(streams[j]) - run + 1))]
+                want[1, a : a + run] |= bool(as_chrome)
+            assert every[i].tolist() == want[0].tolist() and menu[i].tolist() == want[1].tolist()
+
+
+def test_blocks_take_time_in_proportion():
+    for page in ("<b>" * 20_000 + "</i>" * 20_000, "<div><article>" + "<b>" * 20_000 + "</div>" * 20_000, "<i>" + "<div>" * 20_000 + "</i>" * 20_000):
+        began = time.process_time()
+        html_text.all_blocks(page + "end")
+        assert time.process_time() - began < 5
 
 
 def test_html_cuts_repeats_only(spark):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows up to which a table may be broadcast (24 bytes each); beyond it the join is shuffled.
@@ -70,10 +70,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return best.select(F.col("k").alias(key), F.col("i").alias(item), F.col("x.m").cast("long").alias("n_item"), F.col("x.found").alias("n_found"), (F.col("x.found") / F.col("x.m")).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows whose key is in no pair; rows with a null key stay."""
-    hit = cut(contaminated(docs, items, key=key, **options).select(F.col(key).alias("k2")).distinct())
-    return docs.join(_small(hit, hit.count()), docs[key] == F.col("k2"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows whose key is in no pair; rows with a null key stay, and so do empty texts. Of rows of one key, all go or stay. Columns of any names are kept as they are."""
+    plain, back = numbered(docs, {key: "k", text: "t"})
+    item = options.get("item", "item_id")
+    found = contaminated(plain, items.withColumnRenamed(item, "i"), key="k", text="t", **options | {"item": "i"})
+    hit = cut(found.select(F.col("k").alias("k2")).distinct())
+    return back(plain.join(_small(hit, hit.count()), F.col("k") == F.col("k2"), "left_anti"))
 
 
 def oracle(threshold: float = 0.75) -> str:
