@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tintflow.functions import FloatBinner, UIntBinner, component_ranges, default_binner, from_srgb, to_srgb
 from tintflow.functions.colorspace import ColorSpace
-from tintflow.operators import counts, dither, histogram, kmeans, nearest, wu
+from tintflow.operators import counts, dither, histogram, kmeans, nearest, sampling, wu
 from tintflow.plans import ImagePipeline, PalettePipeline, QuantizeMethod
 from tintflow.sources import color_slice, empty_pixels, image_bytes, num_colors, pixels_of, quantized_pixels, read_images, truncated, validated
 from tintflow.types import PALETTE, AboveMaxLen, PaletteSize, QuantizeOutput
@@ -224,13 +224,68 @@ def test_centroids_that_are_the_colors_stay(spark, mode):
 
 
 def test_samples_follow_the_weights(spark):
-    colors = spark.createDataFrame([(0, 1, 1, 1, 900), (0, 2, 2, 2, 100), (1, 5, 5, 5, 1)], "image_id long, r long, g long, b long, n long")
-    m = spark.createDataFrame([(0, 5000), (1, 10)], "image_id long, m long")
-    drawn = kmeans.draw(colors, m, 3, ("r", "g", "b"))
-    got = {(r["image_id"], r["r"]): r["count"] for r in drawn.groupBy("image_id", "r").count().collect()}
-    assert got[1, 5] == 10 and got[0, 1] + got[0, 2] == 5000 and 4350 < got[0, 1] < 4650
-    again = kmeans.draw(colors.repartition(5), m, 3, ("r", "g", "b"))
-    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, again.collect()))
+    got = np.bincount(kmeans.draw(np.array([900, 0, 100]), 5000, 3), minlength=3)
+    assert got.sum() == 5000 and 4350 < got[0] < 4650 and not got[1]
+    whole = kmeans.draw(np.array([900, 0, 100]), 500, 3)
+    assert np.concatenate([kmeans.draw(np.array([900, 0, 100]), 200, 3), kmeans.draw(np.array([900, 0, 100]), 500, 3, 200)]).tolist() == whole.tolist()
+    assert not len(kmeans.draw(np.zeros(0, np.int64), 9, 1)) and not len(kmeans.draw(np.ones(3, np.int64), 0, 1))
+    column = spark.range(500).select(sampling.place_column(F.col("id"), 1000, 3)).collect()
+    assert [r[0] for r in column] == sampling.places(np.arange(500), 1000, 3).tolist()
+    assert np.bincount(sampling.places(np.arange(100_000), 10, 9)).min() > 9_500
+
+
+def test_batches_are_folded_one_by_one():
+    rng = np.random.default_rng(7)
+    points, start = rng.normal(size=(203, 3)), rng.normal(size=(9, 3))
+    for batch in (None, 1, 20):
+        c, n = start.copy(), np.zeros(9)
+        size = batch or 1
+        for lo in range(0, len(points) // size * size, size):
+            near = [int(np.argmin(((c - x) ** 2).sum(axis=1))) for x in points[lo : lo + size]]
+            for x, j in zip(points[lo : lo + size], near, strict=True):
+                n[j] += 1
+                c[j] += (x - c[j]) / np.sqrt(n[j])
+        got = kmeans.Fold(start, batch)
+        for lo in range(0, len(points), 37):
+            got.add(points[lo : lo + 37])
+        assert np.allclose(got.c, c) and got.count.tolist() == n.tolist()
+
+
+@pytest.mark.parametrize("space", ["srgb", "lab", "oklab"])
+def test_palettes_do_not_depend_on_partitions(spark, space):
+    rng = np.random.default_rng(2)
+    px = color_slice(spark, [tuple(map(int, c)) for c in rng.integers(0, 256, (3000, 3))])
+    for method in (QuantizeMethod.wu(), QuantizeMethod.with_kmeans(batch_size=64)):
+        out = [sorted(map(tuple, PalettePipeline(px.repartition(n)).colorspace(space).palette_size(20).quantize_method(method).palette().collect())) for n in (1, 7, 13)]
+        assert out[0] == out[1] == out[2]
+
+
+def test_more_centroids_than_allowed(spark):
+    vectors = spark.range(10).selectExpr("id", "array(double(id), 0d) AS v")
+    many = spark.range(257).selectExpr("int(id) AS palette_idx", "array(double(id), 0d) AS v")
+    with pytest.raises(AboveMaxLen):
+        nearest.nearest_vectors(vectors, many, "id", "v")
+    with pytest.raises(AboveMaxLen):
+        kmeans.refine_vectors(vectors, many, "id", "v")
+
+
+def test_bands_side_by_side():
+    rng = np.random.default_rng(1)
+    palette = rng.integers(0, 256, (12, 3)).astype(float)
+    bands = [rng.integers(0, 256, (h, 9, 3)).astype(float) for h in (5, 6, 6, 3)]
+    warm = [False, True, True, True]
+    for one, b, w in zip(dither.diffuse_bands(bands, palette, 7 / 8, warm), bands, warm, strict=True):
+        assert (one == dither.diffuse(b, palette, 7 / 8, w)).all()
+
+
+def test_quantized_image_takes_few_jobs(spark):
+    rng = np.random.default_rng(3)
+    px, im = color_slice(spark, [tuple(map(int, c)) for c in rng.integers(0, 256, (400, 3))]), image_of(spark, 20, 20)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    q = ImagePipeline(px, im, check=False).palette_size(16).colorspace("oklab").quantize_method(QuantizeMethod.with_kmeans(batch_size=32)).quantized_pixels()
+    built = len(tracker.getJobIdsForGroup(None)) - before
+    assert q.count() == 400 and built <= 14  # a stage of an adaptive plan counts as a job
 
 
 def test_without_distinct_colors(spark):

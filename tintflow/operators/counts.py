@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def unique_color_counts(pixels: DataFrame) -> DataFrame:
-    """(image_id, r, g, b, n): each colour of an image once."""
-    return pixels.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
+    """(image_id, r, g, b, n): each colour of an image once. Pixels that have an n already are counted so many times."""
+    return pixels.groupBy("image_id", "r", "g", "b").agg((F.sum("n").cast("long") if "n" in pixels.columns else F.count("*")).alias("n"))
 
 
 def red_counts(pixels: DataFrame) -> DataFrame:
@@ -29,14 +29,6 @@ def with_color_index(colors: DataFrame) -> DataFrame:
     return colors.withColumn("local", local).join(before, ["image_id", "r"]).withColumn("color_idx", (F.col("before") + F.col("local") - 1).cast("long")).drop("local", "before")
 
 
-def with_running_count(colors: DataFrame) -> DataFrame:
-    """start: how many pixels the image's colours before this one have, in the order of r, g, b; in two levels as above."""
-    reds = colors.groupBy("image_id", "r").agg(F.sum("n").alias("m"))
-    before = reds.withColumn("before", F.coalesce(F.sum("m").over(W.partitionBy("image_id").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("image_id", "r", "before")
-    local = F.coalesce(F.sum("n").over(W.partitionBy("image_id", "r").orderBy("g", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return colors.withColumn("local", local).join(before, ["image_id", "r"]).withColumn("start", F.col("before") + F.col("local")).drop("local", "before")
-
-
 def indexed_color_counts(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(colours with n and color_idx; pixels' color_idx as image_id, pos, color_idx)."""
     colors = with_color_index(unique_color_counts(pixels))

@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 from ..functions.metrics import sum_of_squares
 
 Box = Sequence[tuple[int, int]]
+#: Steps a unit in which components of a space, and sums of their squares, are summed as whole numbers, so that sums do not depend on the order of rows.
+SCALES = {"srgb": 1, "lab": 1 << 16, "oklab": 1 << 20}
 
 
-def moments(colors: DataFrame, binner: Callable[..., Sequence[Column]], components: Sequence[str] = ("r", "g", "b"), whole: bool = True) -> DataFrame:
-    """(image_id, b0, b1, b2, n, s0, s1, s2, ss) by cell, of colours weighted by n; without such a column each row counts once. Whole components give whole sums."""
+def moments(colors: DataFrame, binner: Callable[..., Sequence[Column]], components: Sequence[str] = ("r", "g", "b"), scale: int = 1) -> DataFrame:
+    """(image_id, b0, b1, b2, n, s0, s1, s2, ss) by cell, of colours weighted by n; without such a column each row counts once.
+
+    Whole components (scale 1) give whole sums, and ss as a double; others are rounded to 1/scale, and their sums, ss too, are whole numbers of that unit.
+    """
     n = F.col("n") if "n" in colors.columns else F.lit(1)
     c = [F.col(x) for x in components]
-    binned = colors.select("image_id", *[b.alias(f"b{i}") for i, b in enumerate(binner(*c))], n.cast("long").alias("n"), *[x.cast("long" if whole else "double").alias(f"c{i}") for i, x in enumerate(c)])
+    binned = colors.select("image_id", *[b.alias(f"b{i}") for i, b in enumerate(binner(*c))], n.cast("long").alias("n"), *[x.cast("long" if scale == 1 else "double").alias(f"c{i}") for i, x in enumerate(c)])
+    unit = (lambda x: x) if scale == 1 else (lambda x: F.rint(x * scale).cast("long"))
     comps = [F.col(f"c{i}") for i in range(3)]
-    sums = [F.sum(F.col("n") * x).alias(f"s{i}") for i, x in enumerate(comps)]
-    return binned.groupBy("image_id", "b0", "b1", "b2").agg(F.sum("n").alias("n"), *sums, F.sum(F.col("n") * sum_of_squares(comps)).alias("ss"))
+    sums = [F.sum(F.col("n") * unit(x)).alias(f"s{i}") for i, x in enumerate(comps)]
+    return binned.groupBy("image_id", "b0", "b1", "b2").agg(F.sum("n").alias("n"), *sums, F.sum(F.col("n") * unit(sum_of_squares(comps))).alias("ss"))
 
 
 def cumulative(cells: DataFrame, bins: int, values: Sequence[str] = ("n", "s0", "s1", "s2", "ss")) -> DataFrame:
@@ -66,24 +72,24 @@ def mean_color(cells: DataFrame, box: Box, whole: bool = True) -> DataFrame:
 
 
 def cuts(cells: DataFrame, box: Box) -> DataFrame:
-    """(image_id, axis, pos, n_upper, n_lower, score) of all places where the box can be cut with both sides filled; the least score is the best."""
-    space = cells.where(inside(box))
-    out = None
-    for axis in range(3):
-        slabs = space.groupBy("image_id", F.col(f"b{axis}").alias("bin")).agg(*[F.sum(v).alias(v) for v in ("n", "s0", "s1", "s2")])
-        lo, hi = box[axis]
-        # A slab may be empty: every place in the box is a candidate, and the side before it ends with the slab before it.
-        run = W.partitionBy("image_id").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-        whole = W.partitionBy("image_id")
-        after = F.coalesce(F.lead("bin").over(W.partitionBy("image_id").orderBy("bin")), F.lit(hi))
-        running = slabs.select("image_id", "bin", after.alias("next"), *[F.sum(v).over(run).alias(f"{v}u") for v in ("n", "s0", "s1", "s2")], *[F.sum(v).over(whole).alias(f"{v}t") for v in ("n", "s0", "s1", "s2")])
-        placed = running.where(F.col("bin") + 1 < hi).select("*", F.explode(F.sequence(F.col("bin") + 1, F.least(F.col("next"), F.lit(hi - 1)))).alias("pos"))
-        n_lower = F.col("nt") - F.col("nu")
-        upper = sum_of_squares([F.col(f"s{i}u") for i in range(3)]) / F.col("nu")
-        lower = sum_of_squares([F.col(f"s{i}t") - F.col(f"s{i}u") for i in range(3)]) / n_lower
-        part = placed.where((F.col("nu") > 0) & (n_lower > 0)).select("image_id", F.lit(axis).alias("axis"), "pos", F.col("nu").alias("n_upper"), n_lower.alias("n_lower"), (-(upper + lower)).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(image_id, axis, pos, n_upper, n_lower, score) of all places where the box can be cut with both sides filled; the least score is the best.
+
+    The cells are read once: each is a part of a slab of all three axes.
+    """
+    values = ("n", "s0", "s1", "s2")
+    slabs = cells.where(inside(box)).select("image_id", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"b{a}").alias("bin")) for a in range(3)])).alias("slab"), *values)
+    slabs = slabs.groupBy("image_id", "slab.axis", "slab.bin").agg(*[F.sum(v).alias(v) for v in values])
+    # A slab may be empty: every place in the box is a candidate, and the side before it ends with the slab before it.
+    line = W.partitionBy("image_id", "axis")
+    run = line.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    end = F.element_at(F.array(*[F.lit(hi) for _, hi in box]), F.col("axis") + 1)
+    after = F.coalesce(F.lead("bin").over(line.orderBy("bin")), end)
+    running = slabs.select("image_id", "axis", "bin", after.alias("next"), end.alias("end"), *[F.sum(v).over(run).alias(f"{v}u") for v in values], *[F.sum(v).over(line).alias(f"{v}t") for v in values])
+    placed = running.where(F.col("bin") + 1 < F.col("end")).select("*", F.explode(F.sequence(F.col("bin") + 1, F.least(F.col("next"), F.col("end") - 1))).alias("pos"))
+    n_lower = F.col("nt") - F.col("nu")
+    upper = sum_of_squares([F.col(f"s{i}u") for i in range(3)]) / F.col("nu")
+    lower = sum_of_squares([F.col(f"s{i}t") - F.col(f"s{i}u") for i in range(3)]) / n_lower
+    return placed.where((F.col("nu") > 0) & (n_lower > 0)).select("image_id", "axis", "pos", F.col("nu").alias("n_upper"), n_lower.alias("n_lower"), (-(upper + lower)).alias("score"))
 
 
 def best_cut(cells: DataFrame, box: Box, per_axis: bool = False) -> DataFrame:

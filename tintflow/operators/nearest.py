@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.metrics import squared_distance, squared_distance_arrays
-from ..types import MAX_COLORS
+from ..types import MAX_COLORS, AboveMaxLen
 
 #: Palettes of at most so many rows (images x 256) are sent to the executors; with more images they are joined.
 SENT_ROWS = 1 << 18
@@ -27,19 +27,19 @@ def distances(points: np.ndarray, palette: np.ndarray) -> np.ndarray:
 
 def nearest(points: DataFrame, palette: DataFrame, components: Sequence[str] = ("c0", "c1", "c2"), keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """The points with palette_idx of the nearest entry of their image's palette, and distance2. Of equal distances the lowest index wins; a point without a palette is left out."""
-    if palette.count() <= SENT_ROWS:
-        return _sent(points, palette, components)
+    rows = palette.select("image_id", "palette_idx", *components).limit(SENT_ROWS + 1).collect()
+    if len(rows) <= SENT_ROWS:
+        return _sent(points, rows, components)
     entries = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("palette_idx", *components))).alias("palette"))
     near = F.array_min(F.transform("palette", lambda p: F.struct(squared_distance([F.col(c).cast("double") for c in components], [p[c].cast("double") for c in components]).alias("d"), p["palette_idx"].alias("i"))))
     return points.join(entries, "image_id").withColumn("near", near).withColumn("palette_idx", F.col("near.i")).withColumn("distance2", F.col("near.d")).drop("near", "palette")
 
 
-def _sent(points: DataFrame, palette: DataFrame, components: Sequence[str]) -> DataFrame:
-    table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    rows = palette.select("image_id", "palette_idx", *components).orderBy("image_id", "palette_idx").collect()  # at most SENT_ROWS
-    for image in dict.fromkeys(r[0] for r in rows):
-        mine = [r for r in rows if r[0] == image]
-        table[image] = (np.array([r[1] for r in mine], np.int32), np.array([r[2:] for r in mine], np.float64))
+def _sent(points: DataFrame, rows: list, components: Sequence[str]) -> DataFrame:
+    palettes: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: r[:2]):
+        palettes.setdefault(r[0], []).append(r)
+    table = {image: (np.array([r[1] for r in mine], np.int32), np.array([r[2:] for r in mine], np.float64)) for image, mine in palettes.items()}
     kinds = dict(points.dtypes)
 
     def assign(batches):
@@ -65,8 +65,12 @@ def _sent(points: DataFrame, palette: DataFrame, components: Sequence[str]) -> D
 
 
 def nearest_vectors(vectors: DataFrame, centroids: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, palette_idx, distance2): the nearest centroid of arrays of any length, in the JVM. centroids has palette_idx and the array; there are 256 at most."""
-    entries = centroids.select("palette_idx", F.col(vector).alias("v")).limit(MAX_COLORS).agg(F.array_sort(F.collect_list(F.struct("palette_idx", "v"))).alias("palette"))
+    """(key, palette_idx, distance2): the nearest centroid of arrays of any length, in the JVM. centroids has palette_idx and the array; more than 256 are an error."""
+    few = centroids.select("palette_idx", F.col(vector).cast("array<double>").alias("v"))
+    rows = few.limit(MAX_COLORS + 1).collect()
+    if len(rows) > MAX_COLORS:
+        raise AboveMaxLen(MAX_COLORS)
+    entries = vectors.sparkSession.createDataFrame(rows, few.schema).agg(F.array_sort(F.collect_list(F.struct("palette_idx", "v"))).alias("palette"))
     near = F.array_min(F.transform("palette", lambda p: F.struct(squared_distance_arrays(F.col(vector), p["v"]).alias("d"), p["palette_idx"].alias("i"))))
     return vectors.select(key, vector).crossJoin(F.broadcast(entries)).select(key, near.alias("near")).select(key, F.col("near.i").alias("palette_idx"), F.col("near.d").alias("distance2"))
 

@@ -2,7 +2,7 @@
 
 Pixels are summed into cells by Catalyst; a histogram has bins^3 rows an image at most, and each image's boxes are then found in one group
 function over those rows. Boxes are named in the order of their lower bounds. Of boxes with equal variance the one that was made first is cut
-first. Sums of whole components are whole, so that results do not depend on how rows are dealt.
+first. Sums are whole numbers (of steps, for fractional components), so that results do not depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import UIntBinner
-from ..types import PaletteSize
+from ..types import MAX_PIXELS, AboveMaxLen, PaletteSize
 from . import histogram
 
 BOXES = "image_id long, palette_idx int, lo0 int, hi0 int, lo1 int, hi1 int, lo2 int, hi2 int, n long, s0 double, s1 double, s2 double"
@@ -27,8 +27,8 @@ BROADCAST_ROWS = 1 << 18
 class Grid:
     """Running sums over a histogram, so that a box's sums are eight look-ups."""
 
-    def __init__(self, bins: Sequence[np.ndarray], values: Sequence[np.ndarray], size: int):
-        self.size = size
+    def __init__(self, bins: Sequence[np.ndarray], values: Sequence[np.ndarray], size: int, scale: int = 1):
+        self.size, self.scale = size, scale
         self.total = []
         for v in values:
             cube = np.zeros((size + 1,) * 3, v.dtype)
@@ -45,7 +45,7 @@ class Grid:
         if histogram.is_single_bin(box):
             return 0.0
         n, *s, ss = self.sums(box)
-        return float(ss) - sum(float(x) ** 2 for x in s) / float(n) if n else 0.0
+        return float(ss) / self.scale - sum((float(x) / self.scale) ** 2 for x in s) / float(n) if n else 0.0
 
     def slabs(self, box, axis: int) -> list[np.ndarray]:
         """Sums of the box from its lower bound to each place inside it, along an axis."""
@@ -97,24 +97,23 @@ class Grid:
         return sorted(b for _, _, b in queue)
 
 
-def find_boxes(cells: DataFrame, k: int | PaletteSize, bins: int) -> DataFrame:
-    """The boxes of each image, with their sums. Fewer than k where there is nothing more to cut."""
+def find_boxes(cells: DataFrame, k: int | PaletteSize, bins: int, scale: int = 1) -> DataFrame:
+    """The boxes of each image, with their sums, in units of the components. Fewer than k where there is nothing more to cut."""
     size = int(PaletteSize.of(k))
-    whole = dict(cells.dtypes)["s0"] == "bigint"
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = np.int64 if whole else np.float64
-        grid = Grid([pdf[f"b{i}"].to_numpy() for i in range(3)], [pdf["n"].to_numpy(np.int64), *(pdf[f"s{i}"].to_numpy(kind) for i in range(3)), pdf["ss"].to_numpy(np.float64)], bins)
+        if pdf["n"].sum() > MAX_PIXELS:
+            raise AboveMaxLen(MAX_PIXELS)
+        grid = Grid([pdf[f"b{i}"].to_numpy() for i in range(3)], [pdf["n"].to_numpy(np.int64), *(pdf[f"s{i}"].to_numpy(np.int64) for i in range(3)), pdf["ss"].to_numpy(np.int64 if scale > 1 else np.float64)], bins, scale)
         rows = []
         for i, box in enumerate(grid.boxes(size)):
             n, *s, _ = grid.sums(box)
-            rows.append((pdf["image_id"].iloc[0], i, *(x for pair in box for x in pair), int(n), *map(float, s)))
+            rows.append((pdf["image_id"].iloc[0], i, *(x for pair in box for x in pair), int(n), *(float(x) / scale for x in s)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in BOXES.split(", ")])
 
     if not size:
         return cells.sparkSession.createDataFrame([], BOXES)
-    # Rows come in any order; cells are sorted so that sums of fractions are the same each time.
-    return cells.groupBy("image_id").applyInPandas(lambda pdf: search(pdf.sort_values(["b0", "b1", "b2"])), BOXES)
+    return cells.groupBy("image_id").applyInPandas(search, BOXES)
 
 
 def palette_of(boxes: DataFrame, whole: bool = True) -> DataFrame:
@@ -140,12 +139,12 @@ def lookup(colors: DataFrame, boxes: DataFrame, binner: Callable[..., Sequence[C
     return binned.join(cells, ["image_id", "b0", "b1", "b2"]).drop("b0", "b1", "b2")
 
 
-def palette(colors: DataFrame, k: int | PaletteSize = 256, binner: UIntBinner | Callable = UIntBinner(), components: Sequence[str] = ("r", "g", "b"), whole: bool = True, bins: int | None = None) -> DataFrame:
-    return palette_of(find_boxes(histogram.moments(colors, binner, components, whole), k, bins or binner.bins), whole)
+def palette(colors: DataFrame, k: int | PaletteSize = 256, binner: UIntBinner | Callable = UIntBinner(), components: Sequence[str] = ("r", "g", "b"), scale: int = 1, bins: int | None = None) -> DataFrame:
+    return palette_of(find_boxes(histogram.moments(colors, binner, components, scale), k, bins or binner.bins, scale), scale == 1)
 
 
-def indexed_palette(colors: DataFrame, k: int | PaletteSize = 256, binner: UIntBinner | Callable = UIntBinner(), components: Sequence[str] = ("r", "g", "b"), whole: bool = True, bins: int | None = None) -> tuple[DataFrame, DataFrame]:
+def indexed_palette(colors: DataFrame, k: int | PaletteSize = 256, binner: UIntBinner | Callable = UIntBinner(), components: Sequence[str] = ("r", "g", "b"), scale: int = 1, bins: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(palette, colours with palette_idx)."""
-    cells = histogram.moments(colors, binner, components, whole)
-    boxes = find_boxes(cells, k, bins or binner.bins)
-    return palette_of(boxes, whole), lookup(colors, boxes, binner, components, cells)
+    cells = histogram.moments(colors, binner, components, scale)
+    boxes = find_boxes(cells, k, bins or binner.bins, scale)
+    return palette_of(boxes, scale == 1), lookup(colors, boxes, binner, components, cells)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import default_binner
 from ..functions.colorspace import ColorSpace, from_srgb, to_srgb
+from ..lineage import cut
 from ..operators import counts, histogram, kmeans, nearest, wu
 from ..operators import dither as diffusion
 from ..sources import images as image_source
@@ -23,6 +24,12 @@ from ..types import PaletteSize, QuantizeOutput
 KmeansOptions = kmeans.KmeansOptions
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A table of at most 256 rows an image, computed now: kept by the driver up to SENT_ROWS rows, and written to the shared folder beyond."""
+    rows = df.limit(nearest.SENT_ROWS + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= nearest.SENT_ROWS else cut(df)
+
+
 @dataclass(frozen=True)
 class QuantizeMethod:
     """Boxes alone, or boxes refined by k-means."""
@@ -79,25 +86,40 @@ class PalettePipeline:
         """(image_id, r, g, b, n, c0, c1, c2), once for each colour or for each pixel."""
         o = self.options
         plain = o.colorspace is ColorSpace.SRGB
-        wanted = not (plain and o.method.kmeans is None) and o.dedup_pixels
-        colors = counts.unique_color_counts(self.pixels) if wanted else self.pixels.select("image_id", "r", "g", "b", F.lit(1).cast("long").alias("n"))
+        n = F.col("n") if "n" in self.pixels.columns else F.lit(1)
+        colors = counts.unique_color_counts(self.pixels) if self._distinct() else self.pixels.select("image_id", "r", "g", "b", n.cast("long").alias("n"))
         return colors.withColumns({f"c{i}": c.cast("long") if plain else c for i, c in enumerate(from_srgb(F.col("r"), F.col("g"), F.col("b"), o.colorspace))})
 
-    def _quantized(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(colours, palette in the colour space, boxes)."""
+    def _distinct(self) -> bool:
+        """Whether colours are counted first: sums of sRGB cells do not need it."""
+        o = self.options
+        return o.dedup_pixels and not (o.colorspace is ColorSpace.SRGB and o.method.kmeans is None)
+
+    def _quantized(self, colors: DataFrame, settle: bool) -> tuple[DataFrame, DataFrame]:
+        """(palette in the colour space, boxes). Settled, they are computed here, once for all that asks for them."""
         o = self.options
-        whole = o.colorspace is ColorSpace.SRGB
-        colors = self._colors()
-        cells = histogram.moments(colors, default_binner(o.colorspace), ("c0", "c1", "c2"), whole)
-        boxes = wu.find_boxes(cells, o.palette_size, 32)
+        whole, scale = o.colorspace is ColorSpace.SRGB, histogram.SCALES[o.colorspace.value]
+        kept = settled if settle else lambda df: df
+        cells = histogram.moments(colors, default_binner(o.colorspace), ("c0", "c1", "c2"), scale)
+        boxes = kept(wu.find_boxes(cells, o.palette_size, 32, scale))
         palette = wu.palette_of(boxes, whole)
         if o.method.kmeans is not None:
             weighted = colors
             if not o.dedup_pixels:  # places are counted by colour; the number of samples by pixel
                 weighted = counts.unique_color_counts(self.pixels)
                 weighted = weighted.withColumns({f"c{i}": c.cast("double") for i, c in enumerate(from_srgb(F.col("r"), F.col("g"), F.col("b"), o.colorspace))})
-            palette = kmeans.palette(weighted, palette, o.method.kmeans, ("c0", "c1", "c2"), whole, weighted=o.dedup_pixels)
-        return colors, palette, boxes
+            palette = kept(kmeans.palette(weighted, palette, o.method.kmeans, ("c0", "c1", "c2"), whole, weighted=o.dedup_pixels))
+        return palette, boxes
+
+    def assigned_colors(self) -> tuple[DataFrame, DataFrame]:
+        """(palette in the colour space; distinct colours as image_id, r, g, b, n, c0, c1, c2, palette_idx). Colours and palette are computed once."""
+        o = self.options
+        colors = cut(self._colors()) if self._distinct() else self._colors()
+        palette, boxes = self._quantized(colors, settle=True)
+        distinct = colors if self._distinct() else colors.groupBy("image_id", "r", "g", "b", "c0", "c1", "c2").agg(F.sum("n").alias("n"))
+        if o.method.kmeans is None:
+            return palette, wu.lookup(distinct, boxes, default_binner(o.colorspace), ("c0", "c1", "c2"))
+        return palette, nearest.nearest(distinct, palette)
 
     def _converted(self, palette: DataFrame) -> DataFrame:
         back = to_srgb(F.col("c0"), F.col("c1"), F.col("c2"), self.options.colorspace)
@@ -105,7 +127,7 @@ class PalettePipeline:
 
     def palette(self) -> DataFrame:
         """(image_id, palette_idx, r, g, b, n)."""
-        return self._converted(self._quantized()[1])
+        return self._converted(self._quantized(self._colors(), settle=False)[0])
 
 
 class ImagePipeline(PalettePipeline):
@@ -134,26 +156,20 @@ class ImagePipeline(PalettePipeline):
         """A value outside 0..1 stands for 7/8."""
         return self._with(error_diffusion=diffusion.checked_diffusion(value, diffusion.DIFFUSION))
 
-    def indexed_palette(self, rows_per_band: int | None = None) -> QuantizeOutput:
-        """The palette, and each pixel's index into it."""
+    def indexed_palette(self, rows_per_band: int | None = diffusion.ROWS_PER_BAND) -> QuantizeOutput:
+        """The palette, and each pixel's index into it. Distinct colours are assigned, and pixels look their colour up."""
         o = self.options
-        colors, palette, boxes = self._quantized()
-        # Distinct colours are assigned, and pixels look their colour up.
-        distinct = colors if "pos" not in colors.columns and (o.dedup_pixels and not (o.colorspace is ColorSpace.SRGB and o.method.kmeans is None)) else colors.dropDuplicates(["image_id", "r", "g", "b"])
-        if o.method.kmeans is None:
-            assigned = wu.lookup(distinct, boxes, default_binner(o.colorspace), ("c0", "c1", "c2"))
-        else:
-            assigned = nearest.nearest(distinct, palette)
+        palette, assigned = self.assigned_colors()
         indices = counts.remap(self.pixels, assigned)
-        if o.dither:
+        if o.dither and o.error_diffusion:
             px = self.pixels.withColumns({f"c{i}": c.cast("double") for i, c in enumerate(from_srgb(F.col("r"), F.col("g"), F.col("b"), o.colorspace))})
             indices = diffusion.dither(px, indices, palette, self.images, o.error_diffusion, ("c0", "c1", "c2"), rows_per_band)
         return QuantizeOutput(self._converted(palette), indices)
 
-    def quantized_pixels(self, rows_per_band: int | None = None) -> DataFrame:
+    def quantized_pixels(self, rows_per_band: int | None = diffusion.ROWS_PER_BAND) -> DataFrame:
         """(image_id, pos, r, g, b) in palette colours."""
         out = self.indexed_palette(rows_per_band)
         return sinks.quantized_pixels(out.indices, out.palette)
 
-    def quantized_images(self, kind: str = "png", rows_per_band: int | None = None) -> DataFrame:
+    def quantized_images(self, kind: str = "png", rows_per_band: int | None = diffusion.ROWS_PER_BAND) -> DataFrame:
         return sinks.image_bytes(self.quantized_pixels(rows_per_band), self.images, kind)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import FloatBinner, UIntBinner, component_ranges, from_srgb, squared_distance, to_srgb
-from ..functions.colorspace import LINEAR_TO_LMS, LMS_TO_OKLAB, SRGB_TO_XYZ, WHITE
 from ..operators import counts, dither, histogram, kmeans, nearest, wu
+from ..lineage import cut, ensure_checkpoint_dir
 from ..sources import from_table, palette_hex, points, quantized_pixels, truncated
 from ..types import PALETTE
+from .. import streaming
+from . import oracles
 from .pipeline import ImagePipeline, PalettePipeline, QuantizeMethod
 
 WIDTH = 100
@@ -22,7 +25,10 @@ WHOLE = ((0, 32),) * 3
 
 
 def lineitem_px(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    return lineitem_of(spark.read.parquet(f"{d}/lineitem.parquet"))
+
+
+def lineitem_of(t: DataFrame) -> DataFrame:
     return from_table(t, F.col("l_quantity").cast("long") * 5, F.round(F.col("l_discount") * 100).cast("long") * 25, F.round(F.col("l_tax") * 100).cast("long") * 31)
 
 
@@ -50,24 +56,12 @@ IN_BOX = " AND ".join(f"b{i} >= {lo} AND b{i} < {hi}" for i, (lo, hi) in enumera
 PALETTE_SQL = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(FIXED))
 
 
-def _linear(c: str) -> str:
-    return f"CASE WHEN {c} / 255.0 <= 0.04045 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END"
-
-
-def _rows(m, names: tuple[str, str, str]) -> list[str]:
-    return [" + ".join(f"CAST({v!r} AS DOUBLE) * {n}" for v, n in zip(row, names, strict=True)) for row in m]
-
-
 def _oklab_sql(source: str) -> str:
-    lms = _rows(LINEAR_TO_LMS, ("lr", "lg", "lb"))
-    lab = _rows(LMS_TO_OKLAB, ("l", "m", "s"))
-    return f"SELECT r, g, b, {', '.join(f'{e} AS c{i}' for i, e in enumerate(lab))} FROM (SELECT r, g, b, {', '.join(f'cbrt({e}) AS {n}' for e, n in zip(lms, 'lms', strict=True))} FROM (SELECT r, g, b, {_linear('r')} AS lr, {_linear('g')} AS lg, {_linear('b')} AS lb FROM ({source})))"
+    return f"SELECT r, g, b, c0, c1, c2 FROM ({oracles.converted(source, 'oklab')})"
 
 
 def _lab_sql(source: str) -> str:
-    xyz = _rows(SRGB_TO_XYZ, ("lr", "lg", "lb"))
-    f = [f"CASE WHEN {n} > pow(6.0 / 29, 3) THEN cbrt({n}) ELSE {n} * (pow(29.0 / 6, 2) / 3) + 4.0 / 29 END AS f{n}" for n in "xyz"]
-    return f"SELECT r, g, b, fy * 116 - 16 AS c0, (fx - fy) * 500 AS c1, (fy - fz) * 200 AS c2 FROM (SELECT r, g, b, {', '.join(f)} FROM (SELECT r, g, b, {', '.join(f'({e}) / {w!r} AS {n}' for e, w, n in zip(xyz, WHITE, 'xyz', strict=True))} FROM (SELECT r, g, b, {_linear('r')} AS lr, {_linear('g')} AS lg, {_linear('b')} AS lb FROM ({source}))))"
+    return f"SELECT r, g, b, c0, c1, c2 FROM ({oracles.converted(source, 'lab')})"
 
 
 def _cuts_sql(box) -> str:
@@ -144,9 +138,7 @@ def _converted(spark, d, space: str) -> DataFrame:
 
 
 def _float_bin_sql() -> str:
-    binner = FloatBinner(component_ranges("oklab"))
-    bins = ", ".join(f"CAST(floor(least(greatest(CAST(CAST(CAST(CAST(c{i} AS FLOAT) - CAST({float(low)!r} AS FLOAT) AS FLOAT) AS DOUBLE) / {float(step)!r} AS FLOAT), 0), 31)) AS INTEGER) AS b{i}" for i, (low, step) in enumerate(zip(binner.low, binner.step, strict=True)))
-    return f"SELECT r, g, b, {bins} FROM ({_oklab_sql(UNIQUE)})"
+    return f"SELECT r, g, b, {oracles.float_bins('oklab')} FROM ({_oklab_sql(UNIQUE)})"
 
 
 @query(_float_bin_sql())
@@ -190,13 +182,20 @@ def weighted_histogram_equals_raw(spark, d):
     return histogram.moments(counts.unique_color_counts(lineitem_px(spark, d)), UIntBinner()).drop("image_id")
 
 
-_GRID = "SELECT a.b AS b0, c.b AS b1, e.b AS b2 FROM (SELECT unnest(range(8)) AS b) a, (SELECT unnest(range(8)) AS b) c, (SELECT unnest(range(8)) AS b) e"
+_AXIS = "(SELECT CAST(unnest(range(32)) AS INTEGER) AS b)"
+_FIVE = ("n", "s0", "s1", "s2", "ss")
+
 
+def _cumulative_sql() -> str:
+    out = f"SELECT x.b AS b0, y.b AS b1, z.b AS b2, {', '.join(f'coalesce(c.{v}, 0) AS {v}' for v in _FIVE)} FROM {_AXIS} x, {_AXIS} y, {_AXIS} z LEFT JOIN ({CELLS}) c ON c.b0 = x.b AND c.b1 = y.b AND c.b2 = z.b"
+    for axis, others in (("b2", "b0, b1"), ("b1", "b0, b2"), ("b0", "b1, b2")):
+        out = f"SELECT b0, b1, b2, {', '.join(f'sum({v}) OVER (PARTITION BY {others} ORDER BY {axis}) AS {v}' for v in _FIVE)} FROM ({out})"
+    return f"SELECT b0, b1, b2, {', '.join(f'CAST({v} AS BIGINT) AS {v}' for v in _FIVE[:4])}, CAST(ss AS DOUBLE) AS ss FROM ({out})"
 
-@query(f"WITH cells AS (SELECT r >> 5 AS b0, g >> 5 AS b1, b >> 5 AS b2, count(*) AS n, sum(r) AS s0 FROM ({LINEITEM}) GROUP BY 1, 2, 3) SELECT CAST(x.b0 AS INTEGER) AS b0, CAST(x.b1 AS INTEGER) AS b1, CAST(x.b2 AS INTEGER) AS b2, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(s0), 0) AS BIGINT) AS s0 FROM ({_GRID}) x LEFT JOIN cells y ON y.b0 <= x.b0 AND y.b1 <= x.b1 AND y.b2 <= x.b2 GROUP BY x.b0, x.b1, x.b2")
+
+@query(_cumulative_sql())
 def cumulative_moments(spark, d):
-    cells = histogram.moments(lineitem_px(spark, d), UIntBinner(8))
-    return histogram.cumulative(cells, 8, ("n", "s0")).drop("image_id")
+    return histogram.cumulative(histogram.moments(lineitem_px(spark, d), UIntBinner()), 32).drop("image_id")
 
 
 @query(f"SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(s0) AS BIGINT) AS s0, CAST(sum(s1) AS BIGINT) AS s1, CAST(sum(s2) AS BIGINT) AS s2, sum(ss) AS ss FROM ({CELLS}) WHERE {IN_BOX}")
@@ -231,22 +230,26 @@ def wu_palette_k2(spark, d):
     return PalettePipeline(lineitem_px(spark, d)).palette_size(2).palette().drop("image_id")
 
 
-@query()
+def _palette_sql(source: str, space: str, k: int, *method) -> str:
+    return f"SELECT palette_idx, r, g, b, n FROM ({oracles.to_srgb(oracles.palette(source, space, k, *method), space)})"
+
+
+@query(_palette_sql(LINEITEM, "srgb", 16))
 def wu_palette_k16(spark, d):
     return PalettePipeline(lineitem_px(spark, d)).palette_size(16).palette().drop("image_id")
 
 
-@query()
+@query(_palette_sql(LINEITEM, "srgb", 256))
 def wu_palette_k256(spark, d):
     return PalettePipeline(lineitem_px(spark, d)).palette().drop("image_id")
 
 
-@query()
+@query(_palette_sql(LINEITEM, "oklab", 64))
 def wu_palette_oklab(spark, d):
     return PalettePipeline(lineitem_px(spark, d)).colorspace("oklab").palette_size(64).palette().drop("image_id")
 
 
-@query()
+@query(_palette_sql(LINEITEM, "lab", 64))
 def wu_palette_lab(spark, d):
     return PalettePipeline(lineitem_px(spark, d)).colorspace("lab").palette_size(64).palette().drop("image_id")
 
@@ -316,13 +319,13 @@ def kmeans_zero_samples(spark, d):
     return moved.select("palette_idx", *[F.col(f"c{i}").cast("long").alias(n) for i, n in enumerate("rgb")], "n")
 
 
-@query()
+@query(_palette_sql(LINEITEM, "srgb", 32, None, 0.5, 1))
 def kmeans_online(spark, d):
     method = QuantizeMethod.with_kmeans(mode="online", seed=1)
     return PalettePipeline(lineitem_px(spark, d)).palette_size(32).quantize_method(method).palette().drop("image_id")
 
 
-@query()
+@query(_palette_sql(LINEITEM, "oklab", 32, 256, 0.5, 1))
 def kmeans_minibatch(spark, d):
     method = QuantizeMethod.with_kmeans(batch_size=256, seed=1)
     return PalettePipeline(lineitem_px(spark, d)).colorspace("oklab").palette_size(32).quantize_method(method).palette().drop("image_id")
@@ -333,7 +336,7 @@ def kmeans_sample_count(spark, d):
     return kmeans_online(spark, d).agg(F.sum("n").alias("samples"))
 
 
-@query()
+@query(oracles.embeddings_sql(64, 64))
 def kmeans_embeddings(spark, d):
     """The labels' mean vectors, moved by samples of the vectors; and how many vectors are nearest to each."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
@@ -384,13 +387,13 @@ def dither_zero_diffusion(spark, d):
     return dither.dither(px, counts.remap(px, near), fixed_palette(spark), events_image(spark, d), 0.0).select("pos", "palette_idx")
 
 
-@query()
+@query(oracles.dithered(EVENTS, "srgb", 32, WIDTH, 256))
 def dither_image(spark, d):
     out = ImagePipeline(events_px(spark, d), events_image(spark, d), check=False).palette_size(32).indexed_palette()
     return out.indices.select("pos", "palette_idx")
 
 
-@query()
+@query(oracles.dithered(EVENTS, "oklab", 32, WIDTH, 64))
 def dither_banded(spark, d):
     out = ImagePipeline(events_px(spark, d), events_image(spark, d), check=False).colorspace("oklab").palette_size(32).indexed_palette(rows_per_band=64)
     return out.indices.select("pos", "palette_idx")
@@ -403,29 +406,47 @@ def quantized_image_fixed_palette(spark, d):
     return quantized_pixels(counts.remap(px, near), _rgb_palette(spark)).drop("image_id")
 
 
-@query()
+@query(f"SELECT e.pos, p.r, p.g, p.b FROM ({EVENTS}) e JOIN ({oracles.assigned(EVENTS, 'oklab', 64, 256)}) a USING (r, g, b) JOIN ({_palette_sql(EVENTS, 'oklab', 64, 256)}) p USING (palette_idx)")
 def quantized_image(spark, d):
     method = QuantizeMethod.with_kmeans(batch_size=256)
     return ImagePipeline(events_px(spark, d), events_image(spark, d), check=False).palette_size(64).colorspace("oklab").quantize_method(method).dither(False).quantized_pixels().drop("image_id")
 
 
-def mean_squared_error(px: DataFrame, quantized: DataFrame) -> DataFrame:
-    q = quantized.select("image_id", "pos", *[F.col(c).alias(f"{c}q") for c in "rgb"])
-    return px.join(q, ["image_id", "pos"]).groupBy("image_id").agg(F.avg(squared_distance([F.col(c) for c in "rgb"], [F.col(f"{c}q") for c in "rgb"])).alias("mse"))
+def mean_squared_error(pipeline: PalettePipeline) -> DataFrame:
+    """(image_id, mse) of pixels against their palette colours, by distinct colours."""
+    palette, assigned = pipeline.assigned_colors()
+    p = pipeline._converted(palette).select("image_id", "palette_idx", *[F.col(c).alias(f"{c}q") for c in "rgb"])
+    d = squared_distance([F.col(c) for c in "rgb"], [F.col(f"{c}q") for c in "rgb"])
+    return assigned.join(p, ["image_id", "palette_idx"]).groupBy("image_id").agg((F.sum(d * F.col("n")) / F.sum("n")).alias("mse"))
+
+
+def _mse_sql(k: int, *method) -> str:
+    d = "(a.r - p.r) * (a.r - p.r) + (a.g - p.g) * (a.g - p.g) + (a.b - p.b) * (a.b - p.b)"
+    return f"(SELECT CAST(sum(({d}) * a.n) AS DOUBLE) / sum(a.n) FROM ({oracles.assigned(EVENTS, 'srgb', k, *method)}) a JOIN ({_palette_sql(EVENTS, 'srgb', k, *method)}) p USING (palette_idx))"
+
 
+_PIVOT = " UNION ALL ".join(f"SELECT '{name}' AS method, round({_mse_sql(16, *m)}, 6) AS k16, round({_mse_sql(64, *m)}, 6) AS k64" for name, m in (("boxes", ()), ("kmeans", (256,))))
 
-@query()
+
+@query(_PIVOT)
 def accuracy_pivot(spark, d):
-    """Mean squared errors by method and palette size."""
-    px, im = events_px(spark, d), events_image(spark, d)
+    """Mean squared errors by method and palette size; colours are counted once for all."""
+    colors = cut(counts.unique_color_counts(events_px(spark, d)))
     methods = {"boxes": QuantizeMethod.wu(), "kmeans": QuantizeMethod.with_kmeans(batch_size=256)}
     out = None
     for name, method in methods.items():
         for k in (16, 64):
-            q = ImagePipeline(px, im, check=False).palette_size(k).quantize_method(method).dither(False).quantized_pixels()
-            part = mean_squared_error(px, q).select(F.lit(name).alias("method"), F.lit(k).alias("k"), "mse")
+            part = mean_squared_error(PalettePipeline(colors).palette_size(k).quantize_method(method)).select(F.lit(name).alias("method"), F.lit(k).alias("k"), "mse")
             out = part if out is None else out.unionByName(part)
-    return out.groupBy("method").pivot("k", [16, 64]).agg(F.first("mse")).withColumnsRenamed({"16": "k16", "64": "k64"})
+    return out.groupBy("method").pivot("k", [16, 64]).agg(F.round(F.first("mse"), 6)).withColumnsRenamed({"16": "k16", "64": "k64"})
+
+
+@query(CELLS)
+def streaming_histogram(spark, d):
+    """The histogram of a table that is read as a stream, as it stands at the stream's end."""
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*").option("recursiveFileLookup", True).parquet(d)
+    return streaming.final_moments(lineitem_of(stream), f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4()}").drop("image_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..types import MAX_PIXELS, PIXELS, AboveMaxLen
 
 
-def from_table(df: DataFrame, r: Column, g: Column, b: Column, pos: Column | None = None, image_id: Column | None = None) -> DataFrame:
-    """Pixels from expressions over a table's columns. Without a position the pixels are an unordered multiset (pos is null)."""
+def from_table(df: DataFrame, r: Column, g: Column, b: Column, pos: Column | None = None, image_id: Column | None = None, check: bool = True) -> DataFrame:
+    """Pixels from expressions over a table's columns, checked as they are read. Without a position the pixels are an unordered multiset (pos is null)."""
     cols = [F.lit(0).cast("long").alias("image_id") if image_id is None else image_id.cast("long").alias("image_id"), F.lit(None).cast("long").alias("pos") if pos is None else pos.cast("long").alias("pos")]
-    return df.select(*cols, r.cast("long").alias("r"), g.cast("long").alias("g"), b.cast("long").alias("b"))
+    out = df.select(*cols, r.cast("long").alias("r"), g.cast("long").alias("g"), b.cast("long").alias("b"))
+    return validated(out) if check else out
 
 
 def color_slice(spark: SparkSession, colors: Sequence[Sequence[int]], image_id: int = 0) -> DataFrame:
@@ -40,9 +41,11 @@ def num_colors(pixels: DataFrame) -> int:
 
 
 def validated(pixels: DataFrame) -> DataFrame:
-    """Pixels whose components are checked as they are read: a null, or one outside 0..255, ends the query."""
+    """Pixels that are checked as they are read: a component that is null or outside 0..255 ends the query, and so does a position that no image of MAX_PIXELS has."""
     bad = F.lit(False)
     for c in "rgb":
         bad = bad | F.col(c).isNull() | ~F.col(c).between(0, 255)
     checked = [F.when(bad, F.raise_error(F.lit("a pixel's components are whole numbers from 0 to 255")).cast("long")).otherwise(F.col(c)).alias(c) for c in "rgb"]
-    return pixels.select("image_id", "pos", *checked)
+    beyond = F.col("pos").isNotNull() & ~F.col("pos").between(0, MAX_PIXELS - 1)
+    pos = F.when(beyond, F.raise_error(F.lit(f"a pixel's position is from 0 to {MAX_PIXELS - 1}")).cast("long")).otherwise(F.col("pos"))
+    return pixels.select("image_id", pos.alias("pos"), *checked)

@@ -62,6 +62,25 @@ def image_bytes(pixels: DataFrame, images: DataFrame, kind: str = "png") -> Data
     return joined.groupBy("image_id").applyInPandas(build, "image_id long, width long, height long, content binary")
 
 
+def write_image_files(pixels: DataFrame, images: DataFrame, folder: str, kind: str = "png") -> None:
+    """The images as files <image_id>.<kind> in a folder that all machines share (a path, or a URI of pyarrow's file systems). A file is written under
+    another name first, so that a task that is run again leaves whole files."""
+
+    def save(rows) -> None:
+        import uuid
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for r in rows:
+            with system.open_output_stream(part := f"{root}/.{r['image_id']}-{uuid.uuid4()}") as out:
+                out.write(r["content"])
+            system.move(part, f"{root}/{r['image_id']}.{kind}")
+
+    image_bytes(pixels, images, kind).foreachPartition(save)
+
+
 def write_images(pixels: DataFrame, images: DataFrame, path: str, kind: str = "png") -> None:
     """The images as rows of a Parquet table (image_id, width, height, content) at path."""
     image_bytes(pixels, images, kind).write.mode("overwrite").parquet(path)

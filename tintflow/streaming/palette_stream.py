@@ -23,3 +23,17 @@ def write_palettes(pixels: DataFrame, k: int, sink: Callable[[DataFrame, int], N
         sink(wu.palette_of(wu.find_boxes(cells, k, binner.bins)), batch)
 
     return streaming_moments(pixels, binner).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(palettes).start()
+
+
+def final_moments(pixels: DataFrame, folder: str, binner: UIntBinner = UIntBinner()) -> DataFrame:
+    """The cells' moments when a stream that ends has been read: each micro-batch writes the whole state beside the last one, in a folder that all machines share."""
+    last: list[str] = []
+
+    def keep(cells: DataFrame, batch: int) -> None:
+        cells.write.mode("overwrite").parquet(path := f"{folder}/state/{batch}")
+        last[:] = [path]
+
+    cells = streaming_moments(pixels, binner)
+    cells.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    spark = pixels.sparkSession
+    return spark.read.parquet(last[0]) if last else spark.createDataFrame([], cells.schema)
