@@ -3,10 +3,11 @@
 An item's shingles are runs of five words (of all its words, if it has fewer), lower-cased, letters and digits only. Items are partitioned by
 size: partition p has sizes 2^p to 2^(p+1)-1. An item's sketch is its bottom-k MinHash values, with k such that an item of the partition's
 largest size cannot reach the threshold without one of any k of its shingles; so the search, which looks for documents of any length that
-hold a sketch value, misses nothing. Candidates are then verified by the exact count of the item's shingles in the document.
+hold a sketch value, misses nothing. A text is split into words once for all partitions and widths. Candidates are then verified by the
+shingles themselves: the words of the item's distinct shingles that the document has too.
 
 Defined results: one row for each pair of document key and item that reaches the threshold; of several rows of one key (or items of one id), the
-pair that shares most counts. Null or empty texts and items have no words and pair with nothing.
+pair that shares most counts. Null or empty texts and items have no words and pair with nothing; very long texts are searched as a whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, numbered
 
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows up to which a table may be broadcast (24 bytes each); beyond it the join is shuffled.
+#: Rows (of sketches, keys or shingles) up to which a table may be broadcast; beyond it the join is shuffled, and Spark's Bloom filters thin out the corpus.
 BROADCAST_ROWS = 500_000
 
 
@@ -35,37 +36,45 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def shingle_words(w: Column, width: Column) -> Column:
+    """Distinct runs of `width` words, with a space between the words."""
+    every = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+    return F.array_distinct(F.when(F.size(w) >= width, every).otherwise(F.array().cast("array<string>")))
+
+
+def _once(c: Column) -> Column:
+    """Explode keeps an array from being computed once more by each expression that uses it."""
+    return F.explode(F.array(c))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.75) -> DataFrame:
     """key, item, n_item (the item's shingles), n_found, containment of each pair that reaches the threshold."""
-    it = items.select(F.col(item).alias("i"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
-    it = it.dropDuplicates(["i", "w"]).withColumn("width", F.least(F.size("w"), F.lit(width))).withColumn("g", F.xxhash64("w"))
-    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    it = items.select(F.col(item).alias("i"), words(F.col(item_text)).alias("iw")).where(F.size("iw") > 0)
+    it = it.dropDuplicates(["i", "iw"]).withColumn("width", F.least(F.size("iw"), F.lit(width))).withColumn("g", F.xxhash64("iw"))
     widths = sorted(r[0] for r in it.select("width").distinct().collect())  # as many as `width` at most
-    found = None
-    for n in widths:
-        part = it.where(F.col("width") == n).select("i", "g", "w").withColumn("s", F.sort_array(shingle_hashes(F.col("w"), n)))
-        part = part.select("i", "g", "s", F.size("s").alias("m")).withColumn("need", F.ceil(F.col("m") * F.lit(threshold) - F.lit(1e-9)))
-        # The partition's largest size, and how many of its shingles may be missing.
-        most = F.pow(F.lit(2.0), F.floor(F.log2(F.col("m").cast("double"))) + 1) - 1
-        k = (most - F.ceil(most * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-        part = cut(part.select("i", "g", "s", "m", "need", F.slice("s", F.lit(1), F.least(k, F.col("m"))).alias("sketch")))
-        sketch = part.select("i", F.explode("sketch").alias("v"))
-        members = part.select("i", "g", "m", "need", F.explode("s").alias("v"))
-        sizes = part.agg(F.sum(F.size("sketch")), F.sum("m")).first()
-        shingled = src.withColumn("h", F.xxhash64("t")).withColumn("w", words(F.col("t"))).where(F.size("w") >= n)
-        probe = shingled.select("k", "h", F.explode(shingle_hashes(F.col("w"), n)).alias("v"))
-        pairs = cut(probe.join(_small(sketch, sizes[0] or 0), "v").select("k", "h", "i").distinct())
-        texts = pairs.select(F.col("k").alias("k2"), F.col("h").alias("h2")).distinct()
-        n_texts = texts.count()
-        chosen = shingled.join(_small(texts, n_texts), F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")), "left_semi").dropDuplicates(["k", "h"]) if n_texts else shingled.limit(0)
-        holds = chosen.select("k", "h", F.explode(shingle_hashes(F.col("w"), n)).alias("v")).join(_small(members, sizes[1] or 0), "v")
-        exact = holds.groupBy("k", "h", "i", "g", "m", "need").agg(F.count("*").alias("found")).where("found >= need")
-        # Pairs that the search proposed, and no others.
-        p = pairs.withColumnsRenamed({"k": "k2", "h": "h2", "i": "i2"})
-        exact = exact.join(p, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")) & F.col("i").eqNullSafe(F.col("i2")), "left_semi").select("k", "i", "m", "found")
-        found = exact if found is None else found.unionByName(exact)
-    if found is None:
-        found = src.select("k", F.lit(None).cast(dict(it.dtypes)["i"]).alias("i"), F.lit(0).alias("m"), F.lit(0).cast("long").alias("found")).limit(0)
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    if not widths:
+        return src.select(F.col("k").alias(key), F.lit(None).cast(dict(it.dtypes)["i"]).alias(item), *[F.lit(0).cast("long").alias(c) for c in ("n_item", "n_found")], F.lit(0.0).alias("containment")).limit(0)
+    of_width = lambda w, n: F.coalesce(*[F.when(F.col("width") == x, shingle_hashes(w, x)) for x in n])
+    it = it.select("i", "g", "width", "iw", shingle_words(F.col("iw"), F.col("width")).alias("said"), F.sort_array(of_width(F.col("iw"), widths)).alias("s"))
+    it = it.withColumn("m", F.size("said")).withColumn("need", F.ceil(F.col("m") * F.lit(threshold) - F.lit(1e-9)))
+    # The partition's largest size, and how many of its shingles may be missing.
+    most = F.pow(F.lit(2.0), F.floor(F.log2(F.col("m").cast("double"))) + 1) - 1
+    k = (most - F.ceil(most * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
+    it = cut(it.select("i", "g", "width", "said", "m", "need", F.slice("s", F.lit(1), F.least(k, F.size("s"))).alias("sketch")))
+    sizes = it.agg(F.sum(F.size("sketch")), F.sum("m")).first()
+    sketch = it.select("i", "g", F.explode("sketch").alias("v"))
+
+    split = src.withColumn("h", F.xxhash64("t")).withColumn("w", _once(words(F.col("t")))).where(F.size("w") >= widths[0])
+    every = F.concat(*[shingle_hashes(F.col("w"), n) for n in widths]) if len(widths) > 1 else shingle_hashes(F.col("w"), widths[0])
+    probe = split.select("k", "h", F.explode(every).alias("v"))
+    pairs = cut(probe.join(_small(sketch, sizes[0] or 0), "v").select(F.col("k").alias("k2"), F.col("h").alias("h2"), "i", "g").distinct())
+    n_pairs = pairs.count()
+    # Pairs that the search proposed, and no others, meet their texts.
+    held = pairs.withColumnsRenamed({"i": "i2", "g": "g2"}).join(_small(it.drop("sketch"), sizes[1] or 0), (F.col("g") == F.col("g2")) & F.col("i").eqNullSafe(F.col("i2"))).select("k2", "h2", "i", "width", "said", "m", "need")
+    texts = src.withColumn("h", F.xxhash64("t"))
+    met = texts.join(_small(held, n_pairs), (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2"))).select("k", "i", "width", "said", "m", "need", _once(words(F.col("t"))).alias("w"))
+    found = met.select("k", "i", "m", "need", F.size(F.array_intersect("said", shingle_words(F.col("w"), F.col("width")))).cast("long").alias("found")).where("found >= need")
     best = found.groupBy("k", "i").agg(F.max(F.struct("found", "m")).alias("x"))
     return best.select(F.col("k").alias(key), F.col("i").alias(item), F.col("x.m").cast("long").alias("n_item"), F.col("x.found").alias("n_found"), (F.col("x.found") / F.col("x.m")).alias("containment"))
 
