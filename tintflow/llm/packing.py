@@ -3,7 +3,8 @@
 Documents are dealt into shards of about `shard_rows` pieces by a hash of their key, and each shard is packed by itself in order of decreasing length.
 A bin carries a bitmap of the duplicate clusters and bitmaps of the sources that it holds (one bitmap for each document of a source that it
 may take). Bins are kept in order of what is left in them; for a piece, the search starts at the bin that it fills best and goes on through
-its successors until one has no conflict. If none has, the piece opens a bin. A shard is read as a stream, in runs of `shard_rows` pieces.
+its successors until one has no conflict. If none has, the piece opens a bin. A shard is packed as a whole; only one that rows of one key make
+larger than `most` times its size is packed in runs of so many pieces, which bounds a task's memory and loses no row.
 
 A document longer than a bin is cut: its full pieces are bins of their own, and the rest is packed. Nothing is dropped.
 
@@ -64,7 +65,7 @@ def text_cluster(text: Column) -> Column:
     return F.md5(F.array_join(F.split(F.trim(F.lower(text)), r"[\x20\x09-\x0D]+"), " "))
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048, source_limit: int = 2, shard_rows: int = 1024, tokens: Column | None = None, cluster: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048, source_limit: int = 2, shard_rows: int = 1024, most: int = 8, tokens: Column | None = None, cluster: Column | None = None) -> DataFrame:
     """A row for each piece: key, source, piece (from 0), n_pieces, start (first token), n_tokens, bin_id, bin_offset.
 
     `tokens` and `cluster` may give the number of tokens and the duplicate cluster; else tokens are words between white space, and
@@ -102,7 +103,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         for b in batches:
             schema = pa.schema([("k", b.schema.field("k").type), ("s", pa.string()), ("piece", pa.int64()), ("n_pieces", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.int64()), ("bin_offset", pa.int64())])
             for shard, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "k", "s", "n", "c", "rest", "full")), strict=True):
-                if held and (shard != now or len(held) >= shard_rows):
+                if held and (shard != now or len(held) >= most * shard_rows):
                     yield flush()
                 if shard != now:
                     now, used = shard, 0
