@@ -1,10 +1,12 @@
 """Quality classifier with supervised subword embeddings.
 
-A document's features are its words and the n-grams of its bytes (case kept), each hashed to a row of an embedding table. The rows are
+A document's features are its words, its pairs of words by whether the two agree (so that a word said again tells, whichever it is), and the
+n-grams of its characters, case kept, each hashed to a row of an embedding table. The rows are
 averaged within each kind of feature and over the kinds, and a softmax over two classes follows. Table and output weights are learned together by stochastic gradient descent in numpy,
 with momentum-free steps that decay to zero. Scoring multiplies the table by the output weights once, so a text costs one look-up a feature.
 
-Learning takes a bounded sample of labelled rows (`most_docs`, by a hash of the key); every row is scored from its whole text.
+Learning takes a bounded sample of labelled rows (`most_docs` of them and `most_chars` characters, by a hash of the key); every row is scored
+from its whole text.
 
 Defined results: a null or empty text has no features and gets the bias alone; with no labelled rows, every score is 0.5; rows with a null
 label or key are never learned from; repeated rows are each scored.
@@ -15,32 +17,38 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import cut, tidy
 from .textkit import WHITE, U, Words, byte_chunks, mix
 
 
-#: Stand for "another word than the one before" and "the same word again".
-_RELATION = np.array([0x2545F49, 0x9E3779B], np.int32)
+def characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character (its bytes in UTF-8), and the texts' offsets in them."""
+    padded = np.zeros(len(buf) + 4, np.uint8)
+    padded[: len(buf)] = buf
+    start = np.flatnonzero((buf & 0xC0) != 0x80)
+    size = np.diff(np.r_[start, len(buf)])
+    four = np.ndarray((len(buf) + 1,), "<u4", padded, 0, (1,))
+    spare = (8 * (4 - np.minimum(size, 4))).astype(np.uint32)
+    return (four[start] << spare) >> spare, np.searchsorted(start, offsets)
 
 
 def features(buf: np.ndarray, offsets: np.ndarray, buckets: int, orders: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text number) of all features, kind by kind: words, whether a word repeats the one before, then byte n-grams of each order
-    that lie within a text."""
+    """(bucket, text number) of all features, kind by kind: words, pairs of words by whether they agree, then n-grams of characters of each order that lie within a text."""
     w = Words(buf, offsets, WHITE, None)
-    mask = U(buckets - 1)
-    same = np.zeros(len(w.hash), np.int64)
+    same = np.zeros(len(w.hash), np.uint64)
     same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-    out = [((w.hash & mask).astype(np.int32), w.doc), (_RELATION[same] & np.int32(buckets - 1), w.doc)]
-    n = len(buf)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    out = [((kind & U(buckets - 1)).astype(np.int32), w.doc) for kind in (w.hash, mix(same + U(1)))]
+    value, at = characters(buf, offsets)
+    n = len(value)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     if n:
         wide = np.zeros(n + 8, np.uint32)
-        wide[:n] = buf
-        value = wide[:n].copy()
+        wide[:n] = value
         for k in range(1, max(orders)):
-            value = value * np.uint32(257) + wide[k : n + k]
+            value = value * np.uint32(0x01000193) + wide[k : n + k]
             if k + 1 in orders:
                 m = n - k
                 h = (value[:m] ^ np.uint32(k + 1)) * np.uint32(0x9E3779B1)
@@ -87,17 +95,21 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int, orders: tuple[in
     return (table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", keep: dict[str, Column] | None = None, most_docs: int = 3_000, buckets: int = 1 << 15, orders: tuple[int, ...] = (2, 3, 4), dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", keep: dict[str, Column] | None = None, most_docs: int = 3_000, most_chars: int = 32_000_000, buckets: int = 1 << 15, orders: tuple[int, ...] = (2, 3, 4), dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> DataFrame:
     """key, the columns `keep`, and score: the probability of label 1. `learn` says which labelled rows may be learned from."""
     marked = labels.where(learn & F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     marked = marked.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")  # rows that contradict one another are left out
-    chosen = marked.orderBy(F.xxhash64("k"), "k").limit(most_docs).select("k", "y").collect()
-    known = {r["k"]: r["y"] for r in chosen}
-    got = docs.where(F.col(key).isin([*known])).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).collect() if known else []
-    got = sorted({(r["k"], r["t"]) for r in got})
+    chosen = cut(marked.orderBy(F.xxhash64("k"), "k").limit(most_docs).select(F.col("k").alias("k2"), "y"))  # most_docs rows
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("k2")).select("k", "y", "t")
+    # Of the chosen texts, repeated rows once, those that most_chars characters hold together.
+    sized = texts.select("k", "y", F.sha2("t", 256).alias("d"), F.length("t").alias("n")).distinct().withColumn("r", F.xxhash64("k"))
+    up_to = F.sum("n").over(W.orderBy("r", "k", "d").rowsBetween(W.unboundedPreceding, 0))
+    fit = cut(sized.withColumn("up_to", up_to).where(F.col("up_to") <= most_chars).select(F.col("k").alias("k3"), "d"))
+    got = texts.join(F.broadcast(fit), (F.col("k") == F.col("k3")) & (F.sha2("t", 256) == F.col("d")), "left_semi").distinct().collect()
+    got = sorted((r["k"], r["t"], r["y"]) for r in got)
     weights, bias = np.zeros(buckets, np.float32), 0.0
     if got:
-        weights, bias = train([t.encode("utf-8", "surrogatepass") for _, t in got], np.array([known[k] for k, _ in got]), buckets, orders, dim, epochs, rate, seed)
+        weights, bias = train([t.encode("utf-8", "surrogatepass") for _, t, _ in got], np.array([y for _, _, y in got]), buckets, orders, dim, epochs, rate, seed)
 
     def rows(batches):
         for b in batches:
