@@ -146,8 +146,8 @@ class CrossParser:
 
 def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_chars: int, per_lang: int, all_chars: int = 200_000) -> dict[str, list[str]]:
     """Labelled texts, per_lang at most of each language, chosen by a hash of the key. Only keys are ranked. Texts of 200 to 3,999 characters go
-    first, then any that are not empty, so that each language with a labelled text has a sample; of a text most_chars are taken at most, or an
-    equal share of all_chars where there are many languages."""
+    first, then any that are not empty, so that each language with a labelled text has a sample; a language gets most_chars at most, or an
+    equal share of all_chars where there are many languages, and a text gives a quarter of that at most."""
     from pyspark.sql import Window
 
     able = docs.where(learn & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
@@ -165,9 +165,9 @@ def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_
     out: dict[str, list[str]] = {x: [] for x in sorted({r[0] for r in ranked}, key=lambda x: (-rows_of.get(x, 0), x))}
     share = max(1, min(most_chars, all_chars // max(1, len(out))))
     for lang_, _, t in ranked:
-        have = out[lang_]
+        have, t = out[lang_], t[: -(-share // 4)]
         if not have or sum(map(len, have)) + len(t) <= share:
-            have.append(t[:share])
+            have.append(t)
     return out
 
 
