@@ -144,6 +144,29 @@ def test_license_scan_of_wrapped_notices(spark):
     assert got[0]["score"] == got[1]["score"] == 1 and abs(got[2]["score"] - 14 / 16) < 0.1 and got[3]["score"] == 0
 
 
+def test_license_scan_is_its_sql_where_notices_are_wrapped(spark):
+    import textwrap
+
+    import duckdb
+    import pyarrow as pa
+
+    rng = np.random.default_rng(15)
+    texts = []
+    for i, (_, body) in enumerate(licenses.NOTICES):
+        for width in (30, 72):
+            mark = rng.choice(["# ", " * ", ""])
+            said = body.split()
+            said[int(rng.integers(0, len(said)))] = "changed"
+            notice = "\n".join(mark + x for x in textwrap.wrap(" ".join(said if i % 2 else body.split()).capitalize(), width))
+            texts.append(f"{words(rng, 12, 9)}\n{mark}\n{notice}\n\n{words(rng, 12, 9)}" if width == 30 else f"{words(rng, 5, 9)}\n{notice}\n{words(rng, 9, 9)}")
+    texts += ["", None, "mit\nlicense", "the MIT\n\nlicense of the apache\nlicense"]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}))
+    want = {r[0]: r[1:] for r in con.execute(licenses.oracle()).fetchall()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got == want and sum(bool(w[5]) for w in want.values()) >= 18
+
+
 def test_license_scan_of_repeated_and_no_rows(spark):
     two = docs_of(spark, ["mit license mit license"]).unionByName(docs_of(spark, ["mit license mit license"]))
     assert [r["n_base"] for r in licenses.scan(two).collect()] == [2, 2]
@@ -549,6 +572,44 @@ def test_quality(spark):
     assert quality.score(docs_of(spark, []), labels, ~held).count() == 0
 
 
+def test_quality_is_brute_force(spark, monkeypatch):
+    """Scores are the mean over kinds of the mean weight of a text's features, feature by feature."""
+    from tintflow.llm.textkit import WHITE, Words, mix
+
+    buckets, orders, rng = 1 << 10, (2, 3), np.random.default_rng(13)
+    weights = rng.normal(size=buckets).astype(np.float32)
+    monkeypatch.setattr(quality, "train", lambda *a: (weights, 0.25))
+    texts = [words(rng, int(n), 9) + " é中 Ä é中" * (n % 3) for n in rng.integers(1, 30, 40)] + ["", None, "x", "x x x", "é", "𝄞𝄞 𝄞"]
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs_of(spark, texts), labels, F.lit(True), buckets=buckets, orders=orders).collect()}
+    one = lambda w: int(Words(b := np.frombuffer(w.encode(), np.uint8), np.array([0, len(b)]), WHITE, None).hash[0])
+    pair = [int(x) & (buckets - 1) for x in mix(np.array([1, 2], np.uint64))]
+    for i, t in enumerate(texts):
+        said, kinds = (t or "").split(), []
+        kinds.append([one(w) & (buckets - 1) for w in said])
+        kinds.append([pair[int(j > 0 and said[j] == said[j - 1])] for j in range(len(said))])
+        value = [int.from_bytes(c.encode(), "little") for c in t or ""]
+        for n in orders:
+            kinds.append([])
+            for j in range(len(value) - n + 1):
+                h = value[j]
+                for v in value[j + 1 : j + n]:
+                    h = (h * 0x01000193 + v) % (1 << 32)
+                h = (h ^ n) * 0x9E3779B1 % (1 << 32)
+                kinds[-1].append((h ^ (h >> 15)) & (buckets - 1))
+        means = [np.mean(weights[k]) for k in kinds if k]
+        assert abs(got[i] - 1 / (1 + np.exp(-(np.mean(means) if means else 0) - 0.25))) < 1e-6
+
+
+def test_quality_learns_from_bounded_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, *a: (seen.append(sum(map(len, texts))), (np.zeros(1 << 15, np.float32), 0.0))[1])
+    docs = docs_of(spark, ["word " * 100] * 50 + [f"w{i} " * 100 for i in range(50)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    quality.score(docs, labels, F.lit(True), most_chars=5_000).collect()
+    assert 0 < seen[0] <= 5_000
+
+
 def test_labels_are_no_input_of_scores(spark):
     rng = np.random.default_rng(12)
     df = docs_of(spark, [words(rng, 30) for _ in range(60)])

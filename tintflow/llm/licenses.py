@@ -132,19 +132,26 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
 
 
 def oracle(threshold: float = 0.8) -> str:
-    """The same rows in DuckDB's SQL, without any filter of candidates."""
+    """The same rows in DuckDB's SQL, without any filter of candidates: lines, and all runs of words of paragraphs of several lines."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words_of = lambda c: f"regexp_extract_all(translate({c}, '{upper}', '{lower}'), '{word}')"
     phrase = ", ".join(f"('{label}', {[*p.split()]!r})" for p, label in PHRASES.items())
-    notice = ", ".join(f"('{label}', {sorted(set(p.split()))!r})" for label, p in NOTICES)
+    notice = ", ".join(f"({i}, '{label}', {sorted(set(p.split()))!r}, {[f'{a} {b}' for a, b in sorted(set(zip(p.split(), p.split()[1:], strict=False)))]!r}, {len(p.split())})" for i, (label, p) in enumerate(NOTICES))
+    need = lambda c: f"ceil({threshold} * len({c}) - 1e-9)"
     return f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{word}') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {words_of("coalesce(text, '')")} AS w FROM documents),
 phrases(label, body) AS (VALUES {phrase}),
-notices(label, body) AS (VALUES {notice}),
+notices(tid, label, body, two, long) AS (VALUES {notice}),
 places AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: list_slice(w, i, i + len(body) - 1) = body)) - 1 AS place FROM d, phrases WHERE list_has_all(w, body)),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
-line AS (SELECT doc_id, list_distinct(regexp_extract_all(translate(l, '{upper}', '{lower}'), '{word}')) AS w FROM (SELECT doc_id, unnest(lines) AS l FROM d)),
-share AS (SELECT doc_id, label, max(len(list_intersect(w, body)) / len(body)) AS share FROM line, notices WHERE len(list_intersect(w, body)) >= ceil({threshold} * len(body) - 1e-9) GROUP BY doc_id, label),
+line AS (SELECT doc_id, list_distinct({words_of('l')}) AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+plain AS (SELECT doc_id, tid, max(len(list_intersect(w, body)) / len(body)) AS share FROM line, notices WHERE len(list_intersect(w, body)) >= {need('body')} GROUP BY doc_id, tid),
+paragraph AS (SELECT doc_id, {words_of('l')} AS w FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\n{BREAK}*\n')) AS l FROM d) WHERE contains(l, chr(10))),
+run AS (SELECT doc_id, tid, body, two, w[i : i + long - 1] AS w FROM (SELECT doc_id, tid, body, two, long, w, unnest(range(1, greatest(len(w) - long + 1, 1) + 1)) AS i FROM paragraph, notices WHERE len(list_intersect(list_distinct(w), body)) >= {need('body')})),
+wrapped AS (SELECT doc_id, tid, max(len(list_intersect(list_distinct(w), body)) / len(body)) AS share FROM run WHERE len(list_intersect(list_distinct(w), body)) >= {need('body')}
+  AND len(list_intersect(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), two)) >= {need('two')} GROUP BY doc_id, tid),
+share AS (SELECT doc_id, label, coalesce(p.share, x.share) AS share FROM plain p FULL JOIN wrapped x USING (doc_id, tid) JOIN notices USING (tid)),
 every AS (SELECT doc_id, label, share FROM share UNION ALL SELECT DISTINCT doc_id, label, 1.0 FROM places),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM every GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -21,7 +21,8 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+    out = lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+    return out.select("doc_id", "n_tokens", *[(F.round(c, 6) + 0.0).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontam.oracle(), "op5_license_scan": licenses.oracle()}
+    return {
+        "op2_benchmark_decontamination": decontam.oracle(), "op3_lm_scoring": lm_scoring.oracle(), "op5_license_scan": licenses.oracle(), "op6_suffix_array_dedup": suffix_dedup.oracle(),
+        "op7_ngram_jaccard_join": jaccard_join.oracle(),
+    }

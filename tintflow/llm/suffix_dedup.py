@@ -485,3 +485,22 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
     if "n" in kinds:
         short = short.withColumn("n", F.length("words").cast(kinds["n"]))
     return back(same.drop("u", "t").unionByName(short))
+
+
+def oracle(length: int = 200, piece: int = 1000) -> str:
+    """The same rows in DuckDB's SQL, by all windows. Texts are read in pieces, as taking a part of a long string takes time in proportion to it."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, len(h) // 2 AS n_bytes FROM d),
+pieces AS (SELECT doc_id, n_bytes, j, substr(h, 2 * {piece} * j + 1, 2 * ({piece} + {length - 1})) AS p FROM (SELECT doc_id, h, n_bytes, unnest(range(n_bytes // {piece} + 1)) AS j FROM n)),
+windows AS (SELECT doc_id, {piece} * j + i AS i, md5(substr(p, 2 * i + 1, {2 * length})) AS w FROM (SELECT doc_id, j, p, unnest(range(least({piece}, len(p) // 2 - {length - 1}))) AS i FROM pieces)),
+again AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS m FROM windows) WHERE m > 1),
+runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {length} THEN 0 ELSE 1 END AS new FROM again)),
+spans AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n_bytes, n_bytes FROM n),
+kept AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS a, a AS b FROM edges),
+rest AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS h FROM kept JOIN n USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT n.doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(rest.h)) AS kept_sha256
+FROM n JOIN rest USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
