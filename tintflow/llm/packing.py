@@ -75,7 +75,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     src = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), F.coalesce(word_count(t) if tokens is None else tokens, F.lit(0)).cast("long").alias("n"), (text_cluster(t) if cluster is None else cluster.cast("string")).alias("c"))
     rows = docs.count()
     shards = max(1, -(-rows // shard_rows))
-    src = src.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards))).withColumn("full", F.floor(F.col("n") / capacity)).withColumn("rest", F.col("n") % capacity)
+    marked = F.conv(F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    src = src.withColumn("shard", marked % shards).withColumn("full", F.floor(F.col("n") / capacity)).withColumn("rest", F.col("n") % capacity)
     # The rest is packed; a document that fills its bins to the last token has none.
     src = src.withColumn("rest", F.when((F.col("rest") == 0) & (F.col("full") > 0), F.lit(None)).otherwise(F.col("rest")))
     dealt = src.repartition("shard").sortWithinPartitions("shard", F.col("rest").desc_nulls_last(), "k", "n", "s", "c")
@@ -113,3 +114,25 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     out = dealt.mapInArrow(tidy(packed), f"k {kind}, s string, piece long, n_pieces long, start long, n_tokens long, bin_id long, bin_offset long")
     return out.select(F.col("k").alias(key), F.col("s").alias(source), *columns[2:])
+
+
+def oracle(capacity: int = 2048, source_limit: int = 2, shard_rows: int = 1024) -> str:
+    """The same rows in DuckDB's SQL: a fold over the pieces of each shard, whose state is the list of bins."""
+    white = r"[\x20\x09-\x0D]+"
+    fits = f"a.bins[i].left_ >= x.rest AND (x.n = 0 OR NOT list_contains(a.bins[i].clusters, x.c)) AND (x.s IS NULL OR len(list_filter(a.bins[i].sources, lambda y: y = x.s)) < {source_limit})"
+    best = f"list_min(list_transform(list_filter(range(1, len(a.bins) + 1), lambda i: {fits}), lambda i: a.bins[i].left_ * 1000000 + i)) % 1000000"
+    taken = "{'left_': b.left_ - x.rest, 'clusters': CASE WHEN x.n > 0 THEN list_append(b.clusters, x.c) ELSE b.clusters END, 'sources': CASE WHEN x.s IS NULL THEN b.sources ELSE list_append(b.sources, x.s) END}"
+    empty = f"{{'left_': CAST({capacity} AS BIGINT), 'clusters': CAST([] AS VARCHAR[]), 'sources': CAST([] AS VARCHAR[])}}"
+    step = f"list_transform([{best}], lambda j: {{'bins': CASE WHEN j IS NULL THEN list_append(a.bins, list_transform([{empty}], lambda b: {taken})[1]) ELSE list_transform(a.bins, lambda b, i: CASE WHEN i = j THEN {taken} ELSE b END) END, 'out': list_append(a.out, {{'bin': coalesce(j, len(a.bins) + 1) - 1, 'off': CASE WHEN j IS NULL THEN 0 ELSE {capacity} - a.bins[j].left_ END}})}})[1]"
+    kind = "STRUCT(left_ BIGINT, clusters VARCHAR[], sources VARCHAR[])[]"
+    return f"""
+WITH d AS (SELECT doc_id AS k, source AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n, md5(array_to_string(regexp_split_to_array(trim(lower(coalesce(text, '')), ' '), '{white}'), ' ')) AS c,
+  CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) % (SELECT greatest(1, (count(*) + {shard_rows - 1}) // {shard_rows}) FROM documents) AS shard FROM documents),
+p AS (SELECT *, n // {capacity} AS full_, CASE WHEN n % {capacity} = 0 AND n >= {capacity} THEN NULL ELSE n % {capacity} END AS rest FROM d),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY rest DESC NULLS LAST, k NULLS FIRST, n, s NULLS FIRST, c) AS nth FROM p),
+f AS MATERIALIZED (SELECT shard, list_reduce(list({{'rest': rest, 'n': n, 's': s, 'c': c}} ORDER BY nth), lambda a, x: {step}, {{'bins': CAST([] AS {kind}), 'out': CAST([] AS STRUCT(bin BIGINT, off BIGINT)[])}}) AS a FROM o WHERE rest IS NOT NULL GROUP BY shard),
+rests AS (SELECT k, s, full_ AS piece, full_ + 1 AS n_pieces, full_ * {capacity} AS start, rest AS n_tokens, (shard << 32) + a.out[nth].bin AS bin_id, a.out[nth].off AS bin_offset FROM o JOIN f USING (shard) WHERE rest IS NOT NULL),
+fulls AS (SELECT k, s, piece, full_ + CASE WHEN rest IS NULL THEN 0 ELSE 1 END AS n_pieces, piece * {capacity} AS start, {capacity} AS n_tokens, (shard << 32) + coalesce(len(a.bins), 0) + row_number() OVER (PARTITION BY shard ORDER BY nth, piece) - 1 AS bin_id, 0 AS bin_offset
+  FROM (SELECT *, unnest(range(full_)) AS piece FROM o) LEFT JOIN f USING (shard))
+SELECT k AS doc_id, s AS source, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('piece', 'n_pieces', 'start', 'n_tokens', 'bin_id', 'bin_offset'))} FROM (SELECT * FROM rests UNION ALL SELECT * FROM fulls)
+"""

@@ -63,6 +63,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_benchmark_decontamination": decontam.oracle(), "op3_lm_scoring": lm_scoring.oracle(), "op5_license_scan": licenses.oracle(), "op6_suffix_array_dedup": suffix_dedup.oracle(),
+        "op1_best_fit_packing": packing.oracle(), "op2_benchmark_decontamination": decontam.oracle(), "op3_lm_scoring": lm_scoring.oracle(), "op5_license_scan": licenses.oracle(), "op6_suffix_array_dedup": suffix_dedup.oracle(),
         "op7_ngram_jaccard_join": jaccard_join.oracle(),
     }
