@@ -64,6 +64,18 @@ def test_fingerprints(spark, corpus):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_canonical_forms_by_hand(spark):
+    """Texts of a line are one document in canonical form; no two lines are."""
+    classes = [
+        ["ABC d", "abc d", "ＡＢＣ　ｄ", " abc\u00a0d ", "abc\t\r\nd", "ᴬbc D".replace("ᴬ", "a")], ["Straße", "STRASSE", "strasse", "straſse"], ["caf\u00e9", "cafe\u0301", "CAF\u00c9"], ["cafe"], ["ﬁne", "fine"],
+        ["①²", "12"], ["", None, "  \n", "\u3000"], ["Σας", "σασ", "ΣΑΣ"], ["abcd"], ["a bc d"], ["x" * 5000 + " Y", "X" * 5000 + "\ny"], ["İ", "i\u0307"], ["ı"],
+    ]
+    texts = [t for c in classes for t in c]
+    of = [i for i, c in enumerate(classes) for _ in c]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(docs_of(spark, texts)).collect()}
+    assert all((got[i] == got[j]) == (of[i] == of[j]) for i in range(len(texts)) for j in range(i))
+
+
 def test_fingerprints_when_digests_collide(spark, corpus):
     short = lambda canon: hashlib.md5(canon).hexdigest()[:1]
     got = fingerprints.fingerprint(docs_of(spark, corpus), digest=short).collect()
@@ -676,6 +688,41 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), ~held).count() == 0
 
 
+def test_language_id_is_brute_force(spark):
+    """Texts parsed phrase by phrase against the samples themselves, with the phrases weighed by what a language's sample holds."""
+    rng = np.random.default_rng(5)
+    said = {"en": "the of and this that with from they which".split(), "fr": "le la des est avec pour qui dans être".split(), "de": "der die und das nicht ein ist auf für".split()}
+    langs = list(said)
+    texts = [" ".join(said[langs[i % 3]][int(j)] for j in rng.integers(0, 9, 3 + i % 40)) for i in range(60)]
+    texts += [" ".join(said[langs[int(j)]][int(k)] for j, k in rng.integers(0, 3, (30, 2))) for _ in range(30)] + ["", "x", "q! 7 the", None, "the " * 400]
+    rows = [(i, t, langs[i % 3] if i < 60 else None, "s", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    samples = langid.sample(df, F.lit(True), "doc_id", "text", "lang", 24_000, 48)
+
+    def folded(t):
+        return re.sub(rb"[^a-z\x80-\xff]+", b"\0", t.lower().encode())
+
+    got = {r["doc_id"]: r for r in langid.identify(df, F.lit(True)).collect()}
+    for i, t in enumerate(texts):
+        s = folded(t or "")
+        need = []
+        for parts in samples.values():
+            known = b"".join(folded(x) + b"\0" for x in parts)
+            n = 0
+            for at in range(0, len(s), 512):
+                piece, j = s[at : at + 512], 0
+                while j < len(piece):
+                    k = j + 1
+                    while k < len(piece) and piece[j : k + 1] in known:
+                        k += 1
+                    n, j = n + 1, k
+            need.append(n * np.log2(len(known)))
+        lettered = any(c.isalpha() for c in t or "")
+        assert got[i]["lang_pred"] == (list(samples)[int(np.argmin(need))] if lettered else "und")
+        two = sorted(need)[:2]
+        assert abs(got[i]["score"] - (1 - two[0] / max(two[1], 1) if lettered else 0)) < 1e-9
+
+
 def test_language_id_of_few_labels_and_gibberish(spark):
     """A language of little labelled text is found, and what no language explains is rejected by the pipeline's stage."""
     rng = np.random.default_rng(3)
