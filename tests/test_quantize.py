@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tintflow.functions import FloatBinner, UIntBinner, component_ranges, default_binner, from_srgb, to_srgb
 from tintflow.functions.colorspace import ColorSpace
-from tintflow.operators import counts, dither, histogram, kmeans, nearest, sampling, wu
+from tintflow.operators import counts, dither, fidelity, histogram, kmeans, nearest, sampling, wu
 from tintflow.plans import ImagePipeline, PalettePipeline, QuantizeMethod
-from tintflow.sources import color_slice, empty_pixels, image_bytes, num_colors, pixels_of, quantized_pixels, read_images, truncated, validated
+from tintflow.sources import color_slice, empty_pixels, image_bytes, num_colors, pixels_of, quantized_pixels, read_images, truncated, validated, write_image_files
 from tintflow.types import PALETTE, AboveMaxLen, PaletteSize, QuantizeOutput
 
 
@@ -308,6 +308,19 @@ def test_kmeans_lowers_the_error(spark):
     assert errors[1] < errors[0]
 
 
+def test_dithering_and_kmeans_lower_the_dissimilarity(spark):
+    """Of a smooth picture, in the published order: boxes, boxes dithered; and k-means below boxes."""
+    y, x = np.mgrid[0:48, 0:64]
+    values = [tuple(map(int, v)) for v in np.stack([120 + 100 * np.sin(x / 13), 128 + 1.5 * x - y, 60 + 3 * y], 2).clip(0, 255).reshape(-1, 3)]
+    px, im = color_slice(spark, values), image_of(spark, 64, 48)
+    pipe = ImagePipeline(px, im).palette_size(12)
+    kmeans_ = pipe.quantize_method(QuantizeMethod.with_kmeans(mode="online", sampling_factor=4.0))
+    score = lambda p, on: fidelity.dissimilarity(px, p.dither(on).quantized_pixels(), im).first()["dssim"]
+    boxes = score(pipe, False)
+    assert fidelity.dissimilarity(px, px, im).first()["dssim"] == 0
+    assert 0 < score(pipe, True) < boxes and score(kmeans_, False) < boxes
+
+
 def test_dither_options():
     assert dither.checked_diffusion(0.5) == 0.5 and dither.checked_diffusion(2.0, 7 / 8) == 7 / 8
     with pytest.raises(ValueError):
@@ -354,6 +367,10 @@ def test_image_files_round_trip(spark, tmp_path):
     pipe = ImagePipeline.from_images(images).palette_size(12)
     assert colors_of(pipe.to_palette_pipeline().palette()) == sorted(values)
     assert pipe.quantized_images("ppm").first()["content"][:2] == b"P6"
+    write_image_files(color_slice(spark, values), image_of(spark, 4, 3), str(tmp_path / "out"))
+    again = pixels_of(read_images(spark, str(tmp_path / "out")))
+    assert [f.name for f in (tmp_path / "out").iterdir() if not f.name.startswith(".")] == ["0.png"]
+    assert [tuple(r) for r in again.orderBy("pos").select("r", "g", "b").collect()] == values
 
 
 def test_benchmark_folders(spark, tmp_path):

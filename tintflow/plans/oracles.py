@@ -6,6 +6,7 @@ import numpy as np
 
 from ..functions import FloatBinner, component_ranges
 from ..functions.colorspace import LINEAR_TO_LMS, LMS_TO_OKLAB, SRGB_TO_XYZ, WHITE
+from ..operators.fidelity import C1, C2, LUMA
 from ..operators.histogram import SCALES
 from ..operators.sampling import places_sql
 
@@ -137,7 +138,7 @@ def assigned(source: str, space: str, k: int, batch: int | None | str = "boxes")
     return f"SELECT r, g, b, any_value(n) AS n, arg_min(palette_idx, (d, palette_idx)) AS palette_idx FROM (SELECT u.r, u.g, u.b, u.n, p.palette_idx, {d} AS d FROM ({unique(source, space)}) u, ({palette(source, space, k, batch)}) p) GROUP BY r, g, b"
 
 
-def dithered(source: str, space: str, k: int, width: int, rows_per_band: int, diffusion: float = 7 / 8) -> str:
+def dithered(source: str, space: str, k: int, width: int, rows_per_band: int, batch: int | None | str = "boxes", diffusion: float = 7 / 8) -> str:
     """(pos, palette_idx) of an image whose source has pos, r, g, b. A row at a time, by a fold over its pixels; all bands side by side."""
     share = diffusion / 16
     near = "list_transform([list_transform(pal, lambda p: (v[1] - p[1]) * (v[1] - p[1]) + (v[2] - p[2]) * (v[2] - p[2]) + (v[3] - p[3]) * (v[3] - p[3]))], lambda d: list_position(d, list_min(d)))[1]"
@@ -146,7 +147,7 @@ def dithered(source: str, space: str, k: int, width: int, rows_per_band: int, di
     pixel = f"""list_transform([list_transform(range(1, 4), lambda d: x.v[d] + (x.err[d] + a.carry[d]))], lambda v: list_transform([{near}], lambda j: list_transform([list_transform(range(1, 4), lambda d: (v[d] - pal[j][d]) * CAST({share!r} AS DOUBLE))], lambda e: {{
       'carry': list_transform(e, lambda q: 7 * q), 'before': {add('a.here', 'e', '5 * ')}, 'here': e, 'out': list_append(a.out, {{'j': j, 'down': {add('a.before', 'e', '3 * ')}}})}})[1])[1])[1]"""
     return f"""
-WITH RECURSIVE pals AS MATERIALIZED (SELECT list([c0, c1, c2] ORDER BY palette_idx) AS pal, list(palette_idx ORDER BY palette_idx) AS ids FROM ({palette(source, space, k)})),
+WITH RECURSIVE pals AS MATERIALIZED (SELECT list([c0, c1, c2] ORDER BY palette_idx) AS pal, list(palette_idx ORDER BY palette_idx) AS ids FROM ({palette(source, space, k, batch)})),
 px AS MATERIALIZED (SELECT pos // {width} AS y, pos % {width} AS x, [c0, c1, c2] AS v FROM ({converted(source, space)})),
 lines AS MATERIALIZED (SELECT y, list(v ORDER BY x) AS forth, list(v ORDER BY x DESC) AS back FROM px GROUP BY y),
 bands AS (SELECT DISTINCT y // {rows_per_band} AS band FROM px),
@@ -162,6 +163,17 @@ walk AS (
 SELECT (band * {rows_per_band} + nth) * {width} + x - 1 AS pos, CAST((SELECT ids FROM pals)[found[x]] AS INTEGER) AS palette_idx FROM walk, (SELECT unnest(range(1, {width} + 1)) AS x) WHERE nth >= 0"""
 
 
+def dissimilarity(source: str, quantized: str, width: int, window: int = 8, scales: int = 4) -> str:
+    """1/s - 1 for the mean structural similarity s of two images with pos, r, g, b."""
+    luma = lambda t: " + ".join(f"{t}.{c} * {w}" for c, w in zip("rgb", LUMA, strict=True))
+    return f"""
+WITH px AS (SELECT p.pos // {width} AS y, p.pos % {width} AS x, {luma('p')} AS a, {luma('q')} AS b FROM ({source}) p JOIN ({quantized}) q USING (pos)),
+cell AS (SELECT s, x >> s AS x, y >> s AS y, CAST(sum(a) AS DOUBLE) / count(*) AS a, CAST(sum(b) AS DOUBLE) / count(*) AS b FROM px, (SELECT unnest(range({scales})) AS s) GROUP BY s, x >> s, y >> s),
+win AS (SELECT s, avg(a) AS ma, avg(b) AS mb, avg(a * a) AS aa, avg(b * b) AS bb, avg(a * b) AS ab FROM cell GROUP BY s, x // {window}, y // {window}),
+scale AS (SELECT s, avg(((2 * ma * mb + {C1!r}) * (2 * (ab - ma * mb) + {C2!r})) / ((ma * ma + mb * mb + {C1!r}) * (aa - ma * ma + bb - mb * mb + {C2!r}))) AS v FROM win GROUP BY s)
+SELECT 1 / avg(v) - 1 AS dssim FROM scale"""
+
+
 def embeddings_sql(dim: int, batch: int, factor: float = 1.0, seed: int = 0) -> str:
     """The labels' mean vectors moved by samples of the vectors, and how many vectors are nearest to each."""
     start = f"SELECT palette_idx, list(m ORDER BY d) AS v FROM (SELECT label AS palette_idx, d, avg(CAST(embedding[d] AS DOUBLE)) AS m FROM embeddings, (SELECT unnest(range(1, {dim + 1})) AS d) GROUP BY label, d) GROUP BY palette_idx"

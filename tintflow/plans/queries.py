@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import FloatBinner, UIntBinner, component_ranges, from_srgb, squared_distance, to_srgb
-from ..operators import counts, dither, histogram, kmeans, nearest, wu
+from ..operators import counts, dither, fidelity, histogram, kmeans, nearest, wu
 from ..lineage import cut, ensure_checkpoint_dir
 from ..sources import from_table, palette_hex, points, quantized_pixels, truncated
 from ..types import PALETTE
@@ -441,6 +441,23 @@ def accuracy_pivot(spark, d):
     return out.groupBy("method").pivot("k", [16, 64]).agg(F.round(F.first("mse"), 6)).withColumnsRenamed({"16": "k16", "64": "k64"})
 
 
+def _dssim_sql(*method, dither: bool = False) -> str:
+    indices = oracles.dithered(EVENTS, "srgb", 16, WIDTH, 256, *method) if dither else f"SELECT e.pos, a.palette_idx FROM ({EVENTS}) e JOIN ({oracles.assigned(EVENTS, 'srgb', 16, *method)}) a USING (r, g, b)"
+    return oracles.dissimilarity(EVENTS, f"SELECT i.pos, p.r, p.g, p.b FROM ({indices}) i JOIN ({_palette_sql(EVENTS, 'srgb', 16, *method)}) p USING (palette_idx)", WIDTH)
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS method, {d} AS dithered, round((SELECT dssim FROM ({_dssim_sql(*m, dither=d)})), 6) AS dssim" for name, m, d in (("boxes", (), False), ("boxes", (), True), ("kmeans", (256,), False))))
+def dissimilarity_report(spark, d):
+    """Structural dissimilarity of 16 colours by method, with and without dithering."""
+    px, im = events_px(spark, d), events_image(spark, d)
+    out = None
+    for name, method, on in (("boxes", QuantizeMethod.wu(), False), ("boxes", QuantizeMethod.wu(), True), ("kmeans", QuantizeMethod.with_kmeans(batch_size=256), False)):
+        q = ImagePipeline(px, im, check=False).palette_size(16).quantize_method(method).dither(on).quantized_pixels()
+        part = fidelity.dissimilarity(px, q, im).select(F.lit(name).alias("method"), F.lit(on).alias("dithered"), F.round("dssim", 6).alias("dssim"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(CELLS)
 def streaming_histogram(spark, d):
     """The histogram of a table that is read as a stream, as it stands at the stream's end."""
