@@ -688,6 +688,36 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), ~held).count() == 0
 
 
+def test_language_id_of_ties_and_a_very_long_text(spark):
+    """Of languages that need as many phrases the one with more labelled rows comes first, then the first by name; and a text is parsed to its end."""
+    same = "abc def ghi " * 20
+    rows = [(i, same, x, "s", 1) for i, x in enumerate(["zz", "zz", "aa", "bb"])] + [(4, "abc def", None, "s", 1)]
+    assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, DOCS), F.lit(True)).collect()} == {"zz"}
+    assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows[1:], DOCS), F.lit(True)).collect()} == {"aa"}
+    one, two = "la le des est pour ", "der die das ist ein "
+    long = one * 2_000 + two * 60_000  # what comes last decides
+    rows = [(i, (one if i % 2 else two) * 30, "fr" if i % 2 else "de", "s", 1) for i in range(8)] + [(8, long, None, "s", 1)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, DOCS), F.lit(True)).collect()}
+    assert got[8] == "de" and got[1] == "fr"
+
+
+def test_html_of_a_very_long_page_and_equal_pages(spark):
+    body = " ".join(f"w{i}" for i in range(120_000))
+    menu = "<div>Home News Sport Weather Travel Money Shop Cars</div>"
+    pages = [(0, "http://h.example/0", f"<article><p>{body}</article>"), (1, "http://h.example/1", f"{menu}<p>{body}</p>"), (2, "http://h.example/2", f"{menu}<p>own words of this page</p>")]
+    pages += [(i, "http://h.example/same", f"{menu}<p>words that equal pages share, ten of them or more</p>") for i in (3, 4)]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == (body, len(body)) and got[1][0] == "" and got[2][0] == "own words of this page"
+    assert got[3] == got[4] and got[3][0] == "words that equal pages share, ten of them or more"
+
+
+def test_lm_scoring_of_a_very_long_text(spark):
+    rng = np.random.default_rng(19)
+    texts = [words(rng, 300_000, 50), words(rng, 40, 50), "", None, words(rng, 40, 50)]
+    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs_of(spark, texts), spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert got[0]["n_tokens"] == 300_000 and got[2]["score"] == got[3]["score"] == 0 and got[1]["score"] < got[4]["score"]
+
+
 def test_language_id_is_brute_force(spark):
     """Texts parsed phrase by phrase against the samples themselves, with the phrases weighed by what a language's sample holds."""
     rng = np.random.default_rng(5)

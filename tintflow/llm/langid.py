@@ -166,7 +166,7 @@ def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_
     share = max(1, min(most_chars, all_chars // max(1, len(out))))
     for lang_, _, t in ranked:
         have, t = out[lang_], t[: -(-share // 4)]
-        if not have or sum(map(len, have)) + len(t) <= share:
+        if t not in have and (not have or sum(map(len, have)) + len(t) <= share):  # copies teach nothing
             have.append(t)
     return out
 
