@@ -70,10 +70,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     probe = split.select("k", "h", F.explode(every).alias("v"))
     pairs = cut(probe.join(_small(sketch, sizes[0] or 0), "v").select(F.col("k").alias("k2"), F.col("h").alias("h2"), "i", "g").distinct())
     n_pairs = pairs.count()
-    # Pairs that the search proposed, and no others, meet their texts.
-    held = pairs.withColumnsRenamed({"i": "i2", "g": "g2"}).join(_small(it.drop("sketch"), sizes[1] or 0), (F.col("g") == F.col("g2")) & F.col("i").eqNullSafe(F.col("i2"))).select("k2", "h2", "i", "width", "said", "m", "need")
+    # Pairs that the search proposed, and no others, meet their texts; a pair travels without the item's words.
     texts = src.withColumn("h", F.xxhash64("t"))
-    met = texts.join(_small(held, n_pairs), (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2"))).select("k", "i", "width", "said", "m", "need", _once(words(F.col("t"))).alias("w"))
+    met = texts.join(_small(pairs, n_pairs), (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2"))).select("k", "t", F.col("i").alias("i2"), F.col("g").alias("g2"))
+    met = met.join(_small(it.drop("sketch"), sizes[1] or 0), (F.col("g") == F.col("g2")) & F.col("i").eqNullSafe(F.col("i2"))).select("k", "i", "width", "said", "m", "need", _once(words(F.col("t"))).alias("w"))
     found = met.select("k", "i", "m", "need", F.size(F.array_intersect("said", shingle_words(F.col("w"), F.col("width")))).cast("long").alias("found")).where("found >= need")
     best = found.groupBy("k", "i").agg(F.max(F.struct("found", "m")).alias("x"))
     return best.select(F.col("k").alias(key), F.col("i").alias(item), F.col("x.m").cast("long").alias("n_item"), F.col("x.found").alias("n_found"), (F.col("x.found") / F.col("x.m")).alias("containment"))
