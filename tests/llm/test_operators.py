@@ -87,6 +87,21 @@ def test_fingerprints_when_digests_collide(spark, corpus):
     assert {r["doc_id"]: r["fingerprint"] for r in both} == {r["doc_id"]: r["fingerprint"] for r in got}
 
 
+def test_edited_texts_when_digests_collide(spark):
+    """Texts of one fingerprint are equal in canonical form, documents and edited ones, under a digest of three values."""
+    rng = np.random.default_rng(21)
+    texts = [words(rng, int(n), 3) for n in rng.integers(1, 5, 30)] + ["", "x", "X"]
+    rows = fingerprints.compare_edited(docs_of(spark, texts), digest=lambda b: str(len(b) % 3)).collect()
+    prints, n = {}, len(texts)
+    for r in rows:
+        i = r["doc_id"]
+        t, after = texts[i], texts[i - 1]
+        half = len(t) // 2
+        for text, f in ((t, r["fingerprint"]), (t[: len(t) - half] + after[:half], r["edited_fingerprint"])):
+            assert prints.setdefault(fingerprints.canonical(text), f) == f
+    assert len(rows) == n and len(set(prints.values())) == len(prints)
+
+
 def test_fingerprints_of_few_rows(spark):
     assert fingerprints.compare_edited(docs_of(spark, [])).count() == 0
     alone = fingerprints.compare_edited(docs_of(spark, ["abcd"])).first()

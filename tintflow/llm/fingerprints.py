@@ -99,7 +99,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", row
     The edited form has the last floor(n/2) code points replaced by the first as many (or all) of the next document. Rows are dealt by
     ranges of the key, so that a document and its successor meet in one sorted pass; the first document of a range is dealt to the range
     above it too. Rows of equal key follow one another by their compressed text, a null key comes last, and after the last row comes the first. The
-    likeness of two exact digests is 1 or 0.
+    likeness of two exact digests is 1 or 0. An edited text that shares a digest with other bytes takes a suffix as a document does.
     """
     src = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n, top = src.agg(F.count("k"), F.max("k")).first()
@@ -145,7 +145,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", row
 
     schema = pa.schema([("k", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("witness", pa.int64()), ("edited_digest", pa.string()), ("edited_witness", pa.int64()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     marks = cut(dealt.mapInArrow(tidy(rows), "k long, n_chars long, edited_sha256 string, digest string, witness long, edited_digest string, edited_witness long, near_edited double, near_next double"))
-    table = cut(collisions(docs, marks, key, text, digest))
+    table = cut(collisions(docs, marks, key, text, digest).unionByName(_edited_apart(marks)))
     if table.isEmpty():
         done = marks.withColumn("fingerprint", F.col("digest")).withColumn("edited_fingerprint", F.col("edited_digest"))
     else:
@@ -153,6 +153,15 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", row
     return done.select(F.col("k").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def _edited_apart(marks: DataFrame) -> DataFrame:
+    """(digest, witness, suffix) of edited texts that share a digest with other bytes, as a second hash of 64 bits tells, and that are no document's text."""
+    every = marks.select("digest", "witness", F.lit(0).alias("edited")).unionByName(marks.select(F.col("edited_digest").alias("digest"), F.col("edited_witness").alias("witness"), F.lit(1).alias("edited")))
+    apart = every.groupBy("digest", "witness").agg(F.min("edited").alias("edited"))
+    several = apart.groupBy("digest").agg(F.count("*").alias("n"), F.min("edited").alias("low"), F.min("witness").alias("first")).where("n > 1")
+    out = apart.where("edited = 1").join(several, "digest").where("low = 0 OR witness <> first")
+    return out.select("digest", "witness", F.concat(F.lit("-"), F.hex("witness")).alias("suffix"))
+
+
 def _compared(a: tuple, b: tuple, digest) -> dict:
     _, k, t, canon, d = a
     half = len(t) // 2
