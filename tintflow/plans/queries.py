@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import FloatBinner, UIntBinner, component_ranges, from_srgb, squared_distance, to_srgb
-from ..operators import counts, dither, fidelity, histogram, kmeans, nearest, wu
+from ..operators import counts, dither, fidelity, histogram, kmeans, nearest, sampling, wu
 from ..lineage import cut, ensure_checkpoint_dir
-from ..sources import from_table, palette_hex, points, quantized_pixels, truncated
+from ..sources import from_table, load_image_dir, palette_hex, pixels_of, points, quantized_pixels, read_images, truncated, write_image_files
 from ..types import PALETTE
 from .. import streaming
 from . import oracles
@@ -458,6 +458,70 @@ def dissimilarity_report(spark, d):
     return out
 
 
+@query(f"SELECT pos, r, g, b FROM ({EVENTS})")
+def image_file_round_trip(spark, d):
+    """Pixels written as an image file and decoded again."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/images-{uuid.uuid4()}"
+    write_image_files(events_px(spark, d), events_image(spark, d), folder)
+    return pixels_of(load_image_dir(spark, folder)).drop("image_id")
+
+
+@query(f"SELECT r, g, b, CAST(count(*) AS BIGINT) AS n FROM ({EVENTS}) GROUP BY r, g, b")
+def image_file_colors(spark, d):
+    """Distinct colours of a decoded image file."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/images-{uuid.uuid4()}"
+    write_image_files(events_px(spark, d), events_image(spark, d), folder)
+    return counts.unique_color_counts(pixels_of(read_images(spark, folder))).drop("image_id")
+
+
+@query(_palette_sql(EVENTS, "srgb", 8))
+def image_pipeline_checked(spark, d):
+    """An image whose size is held against the number of its pixels."""
+    return ImagePipeline(events_px(spark, d), events_image(spark, d)).palette_size(8).palette().drop("image_id")
+
+
+@query(f"SELECT CAST(r >> 5 AS INTEGER) AS b0, CAST(g // 50 AS INTEGER) AS b1, CAST(b >> 7 AS INTEGER) AS b2, CAST(count(*) AS BIGINT) AS n FROM ({LINEITEM}) GROUP BY 1, 2, 3")
+def own_binner(spark, d):
+    """A binner is any callable from three columns to three."""
+    binner = lambda r, g, b: [F.shiftright(r, 5).cast("int"), F.floor(g / 50).cast("int"), F.shiftright(b, 7).cast("int")]
+    return histogram.moments(lineitem_px(spark, d), binner).select("b0", "b1", "b2", "n")
+
+
+@query("SELECT 0.0::DOUBLE AS variance")
+def single_bin_variance(spark, d):
+    cells = histogram.moments(lineitem_px(spark, d), UIntBinner())
+    one = cells.orderBy("b0", "b1", "b2").first()
+    return histogram.variance(cells, tuple((one[f"b{i}"], one[f"b{i}"] + 1) for i in range(3))).select("variance")
+
+
+@query(_palette_sql(LINEITEM, "oklab", 16))
+def wu_palette_without_dedup(spark, d):
+    return PalettePipeline(lineitem_px(spark, d)).colorspace("oklab").palette_size(16).dedup_pixels(False).palette().drop("image_id")
+
+
+@query(f"SELECT palette_idx, c0, c1, c2, n FROM ({oracles.palette(LINEITEM, 'srgb', 24)})")
+def wu_palette_of_colors(spark, d):
+    return wu.palette(counts.unique_color_counts(lineitem_px(spark, d)), 24).drop("image_id")
+
+
+@query(f"SELECT r, g, b, CAST(n AS BIGINT) AS n, palette_idx FROM ({oracles.assigned(LINEITEM, 'srgb', 24)})")
+def wu_indexed_colors(spark, d):
+    return wu.indexed_palette(counts.unique_color_counts(lineitem_px(spark, d)), 24)[1].select("r", "g", "b", "n", "palette_idx")
+
+
+@query(oracles.dithered(EVENTS, "lab", 12, WIDTH, 256, diffusion=0.5))
+def dither_half_diffusion(spark, d):
+    pipe = ImagePipeline(events_px(spark, d), events_image(spark, d), check=False).colorspace("lab").palette_size(12).dither_error_diffusion(0.5)
+    return pipe.indexed_palette().indices.select("pos", "palette_idx")
+
+
+@query(f"SELECT ordinal, {sampling.places_sql('ordinal', '(SELECT count(*) FROM lineitem)', 5)} AS place FROM (SELECT unnest(range(2000)) AS ordinal)")
+def sample_places(spark, d):
+    """Where samples fall among the rows of a table."""
+    n = lineitem_px(spark, d).count()
+    return spark.range(2000).select(F.col("id").alias("ordinal"), sampling.place_column(F.col("id"), n, 5).alias("place"))
+
+
 @query(CELLS)
 def streaming_histogram(spark, d):
     """The histogram of a table that is read as a stream, as it stands at the stream's end."""
