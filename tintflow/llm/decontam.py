@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, numbered
 
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows (of sketches, keys or shingles) up to which a table may be broadcast; beyond it the join is shuffled, and Spark's Bloom filters thin out the corpus.
+#: Rows (of sketches, keys or shingles) up to which a table may be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
 
