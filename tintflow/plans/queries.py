@@ -525,9 +525,7 @@ def sample_places(spark, d):
 @query(CELLS)
 def streaming_histogram(spark, d):
     """The histogram of a table that is read as a stream, as it stands at the stream's end."""
-    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*").option("recursiveFileLookup", True).parquet(d)
-    return streaming.final_moments(lineitem_of(stream), f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4()}").drop("image_id")
+    return streaming.final_moments(lineitem_of(streaming.read_table_as_stream(spark, d, "lineitem.parquet")), f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4()}").drop("image_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

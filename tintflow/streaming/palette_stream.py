@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.binning import UIntBinner
@@ -25,6 +25,16 @@ def write_palettes(pixels: DataFrame, k: int, sink: Callable[[DataFrame, int], N
     return streaming_moments(pixels, binner).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(palettes).start()
 
 
+def read_table_as_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder as a stream: a file of that name, or a folder of files."""
+    path = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder)
+
+
 def final_moments(pixels: DataFrame, folder: str, binner: UIntBinner = UIntBinner()) -> DataFrame:
     """The cells' moments when a stream that ends has been read: each micro-batch writes the whole state beside the last one, in a folder that all machines share."""
     last: list[str] = []
