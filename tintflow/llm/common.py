@@ -3,46 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, delete, ensure_checkpoint_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["crc_fold", "cut", "delete", "ensure_checkpoint_dir", "in_fold", "numbered", "table", "tidy"]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names. Where none is named or set, a local session gets a temporary one, and a cluster an error: its machines share no such folder."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    now = sc.getCheckpointDir()
-    if named:
-        if not now:
-            sc.setCheckpointDir(named)
-        return named
-    if not now:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tintflow-checkpoints"))
-    return sc.getCheckpointDir()
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder, in whatever file system it is."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Rows written once to the shared folder, so that they are neither computed again nor lost with an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def numbered(df: DataFrame, names: dict[str, str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
