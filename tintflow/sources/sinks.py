@@ -63,7 +63,7 @@ def image_bytes(pixels: DataFrame, images: DataFrame, kind: str = "png") -> Data
 
 
 def write_image_files(pixels: DataFrame, images: DataFrame, folder: str, kind: str = "png") -> None:
-    """The images as files <image_id>.<kind> in a folder that all machines share (a path, or a URI of pyarrow's file systems). A file is written under
+    """The images as files <image_id>.<kind> in a folder that all machines share (an absolute path, or a URI of pyarrow's file systems). A file is written under
     another name first, so that a task that is run again leaves whole files."""
 
     def save(rows) -> None:
@@ -71,7 +71,7 @@ def write_image_files(pixels: DataFrame, images: DataFrame, folder: str, kind: s
 
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         for r in rows:
             with system.open_output_stream(part := f"{root}/.{r['image_id']}-{uuid.uuid4()}") as out:
