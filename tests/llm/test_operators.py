@@ -305,6 +305,24 @@ def test_jaccard_join_without_broadcasts(spark, corpus, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == linked(corpus)
 
 
+def test_jaccard_join_sends_no_sets_that_share_by_chance(spark, monkeypatch):
+    """Texts that have some rare shingles in common, but link with nothing, are sent to no block; those that link at the threshold are."""
+    own = [[f"w{i}x{j}" for j in range(300)] for i in range(60)]
+    for i in range(59):
+        for p in range(20 + 15 * (i % 2), 290, 30):  # 9 shingles of the text before, and 9 of the one after
+            own[i + 1][p : p + 5] = own[i][p : p + 5]
+    near = [[f"n{i}x{j}" for j in range(304)] for i in range(4)]
+    near += [[*w[:258], *(f"o{i}x{j}" for j in range(46))] for i, w in enumerate(near)]  # 254 of 346 shingles: no link
+    near += [[*w[:262], *(f"p{i}x{j}" for j in range(42))] for i, w in enumerate(near[:4])]  # 258 of 342 shingles: a link
+    sent = []
+    join = jaccard_join._joined
+    monkeypatch.setattr(jaccard_join, "_joined", lambda cells, *rest: (sent.append(cells.select("c").distinct().count()), join(cells, *rest))[1])
+    texts = [" ".join(w) for w in own + near]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_sets(docs_of(spark, texts), sample_docs=0, sample_share=0.0).collect()}
+    assert got == linked(texts) and [got[60 + i][1] == got[68 + i][1] for i in range(4)] == [True] * 4
+    assert sent[0] <= len(near)
+
+
 def test_jaccard_join_of_odd_tables(spark):
     assert jaccard_join.link_sets(docs_of(spark, [])).count() == 0
     assert [r["component_id"] for r in jaccard_join.link_sets(docs_of(spark, ["", None, " "])).orderBy("doc_id").collect()] == [0, 1, 2]

@@ -5,9 +5,11 @@ sample come last, by how frequent they are there, and shingles of one such class
 this one keeps passages that many documents share out of the prefixes. The table of frequent shingles has a million entries at most.)
 
 1. Documents of equal sets are one class. Only classes are joined.
-2. Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles. Classes are dealt by these. In a shingle's group a class
-   that no other one can link with, by the bounds of length and position, falls away; the others meet in the block of the group's first
-   class. Near copies share most of their groups, so a class goes to few blocks, and goes there once.
+2. Two sets of similarity t share m of their first n - ceil(t n) + m shingles, for any m up to ceil(t n). Classes are dealt by these, with an m
+   that grows with the set (`shared`). In a shingle's group a class that no other one can link with, by the bounds of length and position, falls
+   away. A class that is left in fewer groups than its smallest partner's m links with nothing, and is dropped before sets are sent anywhere:
+   the larger a corpus, the more sets have some shingle in common by chance. The others are grouped again, and meet in the block of the group's
+   first class. Near copies share most of their groups, so a class goes to few blocks, and goes there once.
 3. A block's sets, in lexicographic order, are a prefix tree. It is traversed for one set at a time: all that share a path share its
    overlap, and a subtree is left as soon as what remains of it, or of the set, cannot suffice. What reaches a leaf is a link, counted in
    full. Sets of one component are never compared, and the largest component is never asked for, so that a block of near copies takes a
@@ -36,6 +38,8 @@ BROADCAST_ROWS = 1_000_000
 CELL, CELL_SHINGLES = 2_048, 4_000_000
 #: Rows of a shingle's group that are held to try the bounds; a larger group is passed on whole, as a stream.
 GROUP = 200_000
+#: Of so many shingles of a set, one more is dealt, and one more must be shared.
+SPARE = 16
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -162,6 +166,11 @@ def partners(n: np.ndarray, pos: np.ndarray, num: int, den: int) -> np.ndarray:
     return some & (best >= n)
 
 
+def shared(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many of its prefix's shingles a set of n has in common with any that it links with and that is no smaller. It never falls with n."""
+    return np.minimum(1 + n // SPARE, -(-n * num // den))
+
+
 def _components_of_classes(src: DataFrame, members: DataFrame, width: int, order, num: int, den: int) -> DataFrame | None:
     """(c, comp) of classes in components of several classes; None if there are none."""
 
@@ -176,14 +185,17 @@ def _components_of_classes(src: DataFrame, members: DataFrame, width: int, order
                 fresh &= n > 0
                 some = [i for i in np.flatnonzero(fresh) if int(cls[i]) not in seen]
                 seen.update(cls[some].tolist())
-                take = n[some] - -(-n[some] * num // den) + 1
+                more = shared(n[some], num, den)
+                take = n[some] - -(-n[some] * num // den) + more
                 first = np.cumsum(take) - take
                 pos = np.arange(take.sum()) - np.repeat(first, take)
                 h = value[np.repeat(at[:-1][some], take) + pos]
+                # Of the m that are shared the last has m - 1 before it: the bounds hold for a place that is so much earlier.
+                pos -= np.repeat(more - 1, take)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(cls[some], take)), pa.array(np.repeat(n[some], take).astype(np.int32)), pa.array(pos.astype(np.int32))], names=["h", "c", "n", "pos"])
 
     def meeting(batches):
-        """Sorted by h, n, c, to (block, c, n). The last group of a batch waits for the next, up to GROUP rows; what is longer is passed on as it comes."""
+        """Sorted by h, n, c, to (block, h, c, n, pos). The last group of a batch waits for the next, up to GROUP rows; what is longer is passed on as it comes."""
         rest, lead = None, None  # rows that wait; (h, block) of a group that is passed on
         for b in _and_end(batches):
             h, c, n, pos = ((np.zeros(0, np.int64),) * 4 if b is None else tuple(b.column(i).to_numpy().astype(np.int64) for i in range(4)))
@@ -197,7 +209,7 @@ def _components_of_classes(src: DataFrame, members: DataFrame, width: int, order
             if lead is not None:
                 more = int(np.searchsorted(h, lead[0], "right")) if h[0] == lead[0] else 0
                 if more:
-                    yield _blocks(np.full(more, lead[1]), c[:more], n[:more])
+                    yield _blocks(np.full(more, lead[1]), h[:more], c[:more], n[:more], pos[:more])
                 h, c, n, pos = h[more:], c[more:], n[more:], pos[more:]
                 if not len(h):
                     rest = None
@@ -206,7 +218,7 @@ def _components_of_classes(src: DataFrame, members: DataFrame, width: int, order
             edge = len(h) if b is None else int(np.searchsorted(h, h[-1]))
             if len(h) - edge > GROUP:
                 lead = (h[edge], c[edge])
-                yield _blocks(np.full(len(h) - edge, c[edge]), c[edge:], n[edge:])
+                yield _blocks(np.full(len(h) - edge, c[edge]), h[edge:], c[edge:], n[edge:], pos[edge:])
                 rest = None
             else:
                 rest = (h[edge:], c[edge:], n[edge:], pos[edge:])
@@ -216,17 +228,21 @@ def _components_of_classes(src: DataFrame, members: DataFrame, width: int, order
             # Groups of two, the most of them, are tried all at once.
             s = begin[size == 2]
             s = s[np.minimum(n[s] - pos[s], n[s + 1] - pos[s + 1]) * (num + den) >= num * (n[s] + n[s + 1])] if len(s) else s
-            out = [(c[s], c[s], n[s]), (c[s], c[s + 1], n[s + 1])] if len(s) else []
+            out = [(c[s], h[i], c[i], n[i], pos[i]) for i in (s, s + 1)] if len(s) else []
             for s, z in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 ok = np.flatnonzero(partners(n[s : s + z], pos[s : s + z], num, den)) + s
                 if len(ok):
-                    out.append((np.full(len(ok), c[ok[0]]), c[ok], n[ok]))
+                    out.append((np.full(len(ok), c[ok[0]]), h[ok], c[ok], n[ok], pos[ok]))
             if out:
                 yield _blocks(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     dealt = src.select("t").mapInArrow(tidy(prefixes), "h long, c long, n int, pos int")
-    met = dealt.repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(tidy(meeting), "block long, c long, n long")
-    blocks = cut(met.groupBy("block", "c").agg(F.first("n").alias("n")))
+    meet = lambda rows: rows.repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(tidy(meeting), "block long, h long, c long, n long, pos long")
+    met = cut(meet(dealt).select("h", "c", F.col("n").cast("int"), F.col("pos").cast("int")))
+    # A partner has ceil(t n) shingles at least. A group that was passed on in parts may count twice, which keeps a class.
+    partner = F.expr(f"(n * {num}L + {den - 1}) div {den}").alias("least")
+    enough = met.groupBy("c", partner).count().where(f"count >= least(1 + least div {SPARE}, (least * {num} + {den - 1}) div {den})").select("c")
+    blocks = cut(meet(met.join(enough, "c", "left_semi").select("h", "c", "n", "pos")).groupBy("block", "c").agg(F.first("n").alias("n")))
     n_rows = blocks.count()
     if not n_rows:
         return None
@@ -266,8 +282,8 @@ def _components_of_classes(src: DataFrame, members: DataFrame, width: int, order
     return components(links.unionByName(more))
 
 
-def _blocks(block: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block), pa.array(c), pa.array(n)], names=["block", "c", "n"])
+def _blocks(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["block", "h", "c", "n", "pos"])
 
 
 def _sets(src: DataFrame, members: DataFrame, classes: DataFrame, width: int, order) -> DataFrame:
