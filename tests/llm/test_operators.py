@@ -323,6 +323,19 @@ def test_jaccard_join_sends_no_sets_that_share_by_chance(spark, monkeypatch):
     assert sent[0] <= len(near)
 
 
+def test_cut_leaves_no_shuffled_files(spark):
+    from tintflow.lineage import cut
+
+    def files():
+        jvm = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(jvm.apply(i).getName()) for i in range(jvm.size())}
+
+    before = files()
+    out = cut(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    assert not [f for f in files() - before if f.startswith("shuffle_")]
+    assert sorted(map(tuple, out.collect())) == [(k, 100) for k in range(10)] and out.join(out, "k").count() == 10
+
+
 def test_jaccard_join_of_odd_tables(spark):
     assert jaccard_join.link_sets(docs_of(spark, [])).count() == 0
     assert [r["component_id"] for r in jaccard_join.link_sets(docs_of(spark, ["", None, " "])).orderBy("doc_id").collect()] == [0, 1, 2]

@@ -25,10 +25,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Spark removes a query's shuffle files as soon as it has run, where this is set when its frame is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Rows written once to the shared folder, so that they are neither computed again nor lost with an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Rows written once to the shared folder, so that they are neither computed again nor lost with an executor. What was shuffled for them is
+    removed at once: else it stays until the driver happens to collect garbage, and the disk holds all shuffles of a long job together."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def delete(spark: SparkSession, path: str) -> None:
