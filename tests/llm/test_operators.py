@@ -860,6 +860,23 @@ def test_html_of_hosts(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_of_large_hosts_in_parts(spark):
+    """What recurs on a host is found however its pages are dealt: a line that two pages share, copies of a page, chrome that stands in an article elsewhere."""
+    rng = np.random.default_rng(8)
+    own = lambda n: " ".join(f"w{n}x{i}" for i in range(30))
+    lines = [" ".join(f"s{i}y{j}" for j in range(8 + i % 3)) for i in range(12)]
+    pages = [(i, f"http://h.example/{i}", f"<p>{own(i)}</p><div>{lines[i // 2]}</div>") for i in range(24)]
+    pages += [(24 + i, f"http://h.example/copy{i}", f"<p>{own('copy')}</p>") for i in range(5)]
+    pages += [(30 + i, f"http://h.example/a{i}", f"<nav>{lines[i]}</nav><article>{own(30 + i)}<p>{lines[int(rng.integers(12))]}</article>") for i in range(12)]
+    pages += [(50 + i, f"http://g.example/{i}", f"<p>{own(i)}</p><div>{lines[i]}</div>") for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for cut_articles in (False, True):
+        want = {tuple(r) for r in html_text.extract(df, cut_articles=cut_articles).collect()}
+        assert {r[0]: r[2] for r in want if r[0] < 29} == {i: own(i if i < 24 else "copy") for i in range(29)}
+        for options in ({"chunk_pages": 1}, {"chunk_pages": 5}, {"chunk_bytes": 500}):
+            assert {tuple(r) for r in html_text.extract(df, cut_articles=cut_articles, **options).collect()} == want
+
+
 def test_html_of_hosts_with_containers(spark):
     """A page with a container says what recurs on its host: here in dropped blocks, and in its article."""
     menu, notice = "Home News Sport Weather Travel Money Shop Cars", "All of these words are used under terms that nobody has read"

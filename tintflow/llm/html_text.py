@@ -13,7 +13,8 @@ What is covered decides:
 - chrome is never main text, repeated or not.
 
 So one shuffle takes a host's blocks, compressed, to one task, or a host of more than CHUNK_PAGES pages (or CHUNK_BYTES of markup) to several
-by a hash of the address, each with so many pages that what recurs on the host recurs there. Defined results: a null html is empty, and so is
+by a hash of the address. Each of these tells the windows of `run` tokens that it holds, by 64 bits of a hash, and learns which of them other
+texts of the host hold in other tasks, so that the size of a chunk decides no result. Defined results: a null html is empty, and so is
 its text; a page without blocks has an empty text; unclosed and stray tags are put up with; repeated pages are one text, so that they are no
 evidence against each other; a null or broken url is a host of its own.
 """
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, tidy
+from .textkit import mix
 
 #: Pages, and bytes of their markup, that one task looks for repeats in.
 CHUNK_PAGES, CHUNK_BYTES = 2_000, 32 << 20
@@ -174,27 +176,72 @@ def suffix_ranks(stream: np.ndarray, run: int) -> np.ndarray:
     return rank
 
 
-def repeats(pages: list[list[list[str]]], chrome: list[list[bool]], run: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of the tokens of each page's blocks: whether a repeat of `run` tokens and more covers them that is on another page too, and one that stands there as chrome. Pages of the same tokens are one."""
-    vocabulary: dict[str, int] = {}
-    streams = [np.array([vocabulary.setdefault(w, len(vocabulary)) for block in page for w in block], np.int64) for page in pages]
-    first: dict[bytes, int] = {}
-    text = np.array([first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)], np.int64)
-    own = [i for i in range(len(pages)) if text[i] == i]
-    # A token of its own ends each page, so that no repeat crosses it.
-    joined = np.concatenate([x for i in own for x in (streams[i], np.array([len(vocabulary) + i]))]) if own else np.zeros(0, np.int64)
-    size = np.array([len(streams[i]) + 1 for i in own], np.int64)
-    page = np.repeat(np.arange(len(own)), size)
-    outer = np.concatenate([x for i in own for x in (np.repeat(np.array(chrome[i], bool), [len(b) for b in pages[i]]), np.ones(1, bool))]) if own else np.zeros(0, bool)
+class Streams:
+    """The tokens of the blocks of pages, laid end to end. Pages of the same tokens are one."""
+
+    def __init__(self, pages: list[list[list[str]]], chrome: list[list[bool]]):
+        vocabulary: dict[str, int] = {}
+        streams = [np.array([vocabulary.setdefault(w, len(vocabulary)) for block in page for w in block], np.int64) for page in pages]
+        first: dict[bytes, int] = {}
+        self.text = np.array([first.setdefault(s.tobytes(), i) for i, s in enumerate(streams)], np.int64)
+        self.own = own = [i for i in range(len(pages)) if self.text[i] == i]
+        self.lengths = [len(s) for s in streams]
+        # A token of its own ends each page, so that no repeat crosses it.
+        self.joined = np.concatenate([x for i in own for x in (streams[i], np.array([len(vocabulary) + i]))]) if own else np.zeros(0, np.int64)
+        self.size = np.array([len(streams[i]) + 1 for i in own], np.int64)
+        self.page = np.repeat(np.arange(len(own)), self.size)
+        self.outer = np.concatenate([x for i in own for x in (np.repeat(np.array(chrome[i], bool), [len(b) for b in pages[i]]), np.ones(1, bool))]) if own else np.zeros(0, bool)
+        self.pages, self.vocabulary = pages, vocabulary
+
+    def as_chrome(self, run: int, m: int) -> np.ndarray:
+        """Of the first m windows, whether they stand in dropped blocks alone."""
+        inner = np.zeros(len(self.joined) + 1, np.int64)
+        np.cumsum(~self.outer, out=inner[1:])
+        return inner[run : m + run] == inner[:m]
+
+    def windows(self, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, hashes, hashes of their pages' texts) of all windows of `run` tokens, the same in any chunk."""
+        ends = np.repeat(np.cumsum(self.size) - 1, self.size)
+        at = np.flatnonzero(np.arange(len(self.joined)) + run <= ends)
+        words = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.vocabulary], np.uint64)
+        texts = np.array([xxhash.xxh3_64_intdigest(" ".join(w for block in self.pages[i] for w in block).encode("utf-8", "surrogatepass")) for i in self.own], np.uint64)
+        w = np.zeros(len(at), np.uint64)
+        for k in range(run if len(at) else 0):
+            w = mix(w ^ words[self.joined[at + k]])
+        return at, w.view(np.int64), texts.view(np.int64)[self.page[at]]
+
+
+#: Columns of a window: its hash, the least and greatest hash of texts that hold it, and of those that hold it as chrome.
+WINDOW = ["w", "low", "high", "chrome_low", "chrome_high"]
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def held(pages: list[list[list[str]]], chrome: list[list[bool]], run: int) -> list[np.ndarray]:
+    """(window, least and greatest text that holds it, and those that hold it as chrome: MOST and LEAST if none do) of each distinct window of some pages."""
+    streams = Streams(pages, chrome)
+    at, w, text = streams.windows(run)
+    values, of = np.unique(w, return_inverse=True)
+    as_chrome = streams.as_chrome(run, max(0, len(streams.joined) - run + 1))[at]
+    out = [values]
+    for some in (np.ones(len(at), bool), as_chrome):
+        low, high = np.full(len(values), MOST), np.full(len(values), LEAST)
+        np.minimum.at(low, of[some], text[some])
+        np.maximum.at(high, of[some], text[some])
+        out += [low, high]
+    return out
+
+
+def repeats(pages: list[list[list[str]]], chrome: list[list[bool]], run: int, others: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of the tokens of each page's blocks: whether a repeat of `run` tokens and more covers them that is on another page too, and one that stands there as chrome. Pages of the same tokens are one.
+    `others` are windows that other chunks of the host hold too, with what `held` says of them over all chunks."""
+    streams = Streams(pages, chrome)
+    own, size, page, joined = streams.own, streams.size, streams.page, streams.joined
     rank = suffix_ranks(joined, run)
     m = len(rank)
     covered = np.zeros((2, len(joined) + 1), np.int64)
     if m:
         here = page[:m]
-        inner = np.zeros(len(joined) + 1, np.int64)
-        np.cumsum(~outer, out=inner[1:])
-        as_chrome = inner[run : m + run] == inner[:m]
-        for k, some in enumerate((np.ones(m, bool), as_chrome)):
+        for k, some in enumerate((np.ones(m, bool), streams.as_chrome(run, m))):
             # The first and the last page of a stretch of suffixes that agree: another page than one's own is among them.
             low, high = np.full(int(rank.max()) + 1, len(own)), np.full(int(rank.max()) + 1, -1)
             np.minimum.at(low, rank[some], here[some])
@@ -202,17 +249,31 @@ def repeats(pages: list[list[list[str]]], chrome: list[list[bool]], run: int) ->
             at = np.flatnonzero((high[rank] >= 0) & ((low[rank] != here) | (high[rank] != here)))
             np.add.at(covered[k], at, 1)
             np.add.at(covered[k], at + run, -1)
+    if others is not None and len(others[0]):
+        at, w, text = streams.windows(run)
+        order = np.argsort(others[0])
+        there = order[np.minimum(np.searchsorted(others[0], w, sorter=order), len(order) - 1)]
+        known = others[0][there] == w
+        for k in range(2):
+            low, high = others[1 + 2 * k][there], others[2 + 2 * k][there]
+            more = at[known & (low <= high) & ((low != text) | (high != text))]
+            np.add.at(covered[k], more, 1)
+            np.add.at(covered[k], more + run, -1)
     marks = np.cumsum(covered, axis=1)[:, :-1] > 0
     start = dict(zip(own, (np.cumsum(size) - size).tolist(), strict=True))
-    spans = [(start[t], start[t] + len(streams[t])) for t in text.tolist()]
+    spans = [(start[t], start[t] + streams.lengths[t]) for t in streams.text.tolist()]
     return [marks[0, a:b] for a, b in spans], [marks[1, a:b] for a, b in spans]
 
 
-def main_texts(pages: list[tuple[list[str], list[int], bool]], run: int, cut_articles: bool = False) -> list[tuple[str, int]]:
+def tokens(pages: list[tuple[list[str], list[int], bool]]) -> tuple[list[list[list[str]]], list[list[bool]]]:
+    """(tokens of blocks, whether a block is chrome) of each page."""
+    return [[line.split(" ") for line in lines] for lines, _, _ in pages], [[k < 0 or found and k == 0 for k in kinds] for _, kinds, found in pages]
+
+
+def main_texts(pages: list[tuple[list[str], list[int], bool]], run: int, cut_articles: bool = False, others: list[np.ndarray] | None = None) -> list[tuple[str, int]]:
     """(main text, tokens that repeats cover) of each page of a host, from (blocks, kinds, whether there is a container)."""
-    words = [[line.split(" ") for line in lines] for lines, _, _ in pages]
-    outside = [[k < 0 or found and k == 0 for k in kinds] for _, kinds, found in pages]
-    every, chrome = repeats(words, outside, run)
+    words, outside = tokens(pages)
+    every, chrome = repeats(words, outside, run, others)
     out = []
     for (lines, kinds, found), blocks_, again, menu in zip(pages, words, every, chrome, strict=True):
         gone, at, kept = menu & cut_articles if found else again, 0, []
@@ -255,35 +316,71 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["k", "url", "host", "z", "kinds", "found"])
 
     blocks_ = src.mapInArrow(tidy(read), f"k {kind}, url string, host long, z binary, kinds binary, found boolean")
+    def unpacked(rows):
+        press = zstandard.ZstdDecompressor()
+        texts = [(press.decompress(z).decode("utf-8", "surrogatepass"), np.frombuffer(kinds, np.int8).tolist(), found) for z, kinds, found in rows]
+        return [(text.split("\n") if text else [], kinds, found) for text, kinds, found in texts]
+
+    def stretches(batches):
+        """(chunk, rows) of batches that are sorted by chunk; a chunk may come in several."""
+        for b in batches:
+            chunk = b.column(0).to_numpy()
+            begin = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
+            for lo, hi in zip(begin, [*begin[1:], len(chunk)], strict=True):
+                yield int(chunk[lo]), b.slice(int(lo), int(hi - lo))
+
+    def look(batches):
+        now, host, rows = None, None, []
+
+        def done():
+            columns = held(*tokens(unpacked(rows)), run)
+            n = len(columns[0])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(n, now), np.full(n, host), *columns)], names=["chunk", "host", *WINDOW])
+
+        for chunk, part in stretches(batches):
+            if rows and chunk != now:
+                yield done()
+                rows = []
+            now, host = chunk, part.column(1)[0].as_py()
+            rows.extend(zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True))
+        if rows:
+            yield done()
+
+    page = ["chunk", "k", "url", "z", "kinds", "found"]
     n_large = large.count()
     if n_large:
-        blocks_ = blocks_.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "host", "left")
-        blocks_ = blocks_.withColumn("chunk", F.xxhash64("host", F.pmod(F.xxhash64("url", "z"), F.coalesce("chunks", F.lit(1).cast("long"))))).drop("chunks")
+        blocks_ = blocks_.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "host", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+        blocks_ = cut(blocks_.withColumn("chunk", F.xxhash64("host", F.pmod(F.xxhash64("url", "z"), F.col("chunks")))))
+        parts = blocks_.where("chunks > 1").select("chunk", "host", "z", "kinds", "found").repartition("chunk").sortWithinPartitions("chunk")
+        # A chunk tells a window once, so a list is as long as a host's chunks. Where all texts are one, nothing is repeated.
+        windows = parts.mapInArrow(tidy(look), "chunk long, host long, " + ", ".join(f"{c} long" for c in WINDOW)).groupBy("host", "w")
+        windows = windows.agg(F.collect_list("chunk").alias("chunks"), *[f(c).alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.min, "chrome_low"), (F.max, "chrome_high"))])
+        windows = windows.where("size(chunks) > 1 AND low <> high").select(F.explode("chunks").alias("chunk"), *WINDOW)
+        dealt = blocks_.select(*page).unionByName(windows, allowMissingColumns=True)
     else:
-        blocks_ = blocks_.withColumn("chunk", F.xxhash64("host", F.lit(0).cast("long")))
-    dealt = blocks_.repartition("chunk").sortWithinPartitions("chunk").select("chunk", "k", "url", "z", "kinds", "found")
+        dealt = blocks_.withColumn("chunk", F.xxhash64("host", F.lit(0).cast("long"))).select(*page, *[F.lit(None).cast("long").alias(c) for c in WINDOW])
+    # A chunk's windows stand before its pages.
+    dealt = dealt.select(*page, *WINDOW).repartition("chunk").sortWithinPartitions("chunk", F.col("w").isNull())
 
     def settled(batches):
-        press = zstandard.ZstdDecompressor()
-        now, held = None, []
+        now, rows, others = None, [], []
 
         def done():
-            read_ = []
-            for _, _, z, kinds, found in held:
-                text = press.decompress(z).decode("utf-8", "surrogatepass")
-                read_.append((text.split("\n") if text else [], np.frombuffer(kinds, np.int8).tolist(), found))
-            texts = main_texts(read_, run, cut_articles)
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], key_type), pa.array([h[1] for h in held], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([n for _, n in texts], pa.int64())], names=["k", "url", "text", "n_repeated"])
-
-        for b in batches:
-            key_type = b.schema.field("k").type
-            for chunk, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and chunk != now:
-                    yield done()
-                    held = []
-                now = chunk
-                held.append(row)
-        if held:
+            joined = [np.concatenate(x) for x in zip(*others, strict=True)] if others else None
+            texts = main_texts(unpacked([r[2:] for r in rows]), run, cut_articles, joined)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], key_type), pa.array([r[1] for r in rows], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([n for _, n in texts], pa.int64())], names=["k", "url", "text", "n_repeated"])
+
+        for chunk, part in stretches(batches):
+            key_type = part.schema.field("k").type
+            if rows and chunk != now:
+                yield done()
+                rows, others = [], []
+            now = chunk
+            n = part.num_rows - part.column("w").null_count
+            if n:
+                others.append([part.column(c).slice(0, n).to_numpy() for c in WINDOW])
+            rows.extend(zip(*(part.column(c).slice(n).to_pylist() for c in page[1:]), strict=True))
+        if rows:
             yield done()
 
     out = dealt.mapInArrow(tidy(settled), f"k {kind}, url string, text string, n_repeated long")
