@@ -734,6 +734,18 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), ~held).count() == 0
 
 
+def test_languages_are_kept_by_words_of_all_rows(spark):
+    """A language's words count wherever they stand: beyond the first 48 rows, in long rows and in the end of one."""
+    en, fr = "the of and this that with from they which".split(), "ΑΒΓ ΔΕΖΗ ΘΙΚΛ ΜΝΞΟ ΠΡΣΤ".split()
+    rows = [(i, " ".join(en[(i + j) % 9] for j in range(60)), "en", "s", 1) for i in range(200)]
+    rows += [(200 + i, " ".join(en) * 500 + " " + " ".join(fr * 3), "en", "s", 1) for i in range(3)]
+    rows += [(300, " ".join(fr * 20), None, "s", 1), (301, "ЖЗИ ЙКЛ МНО " * 20, None, "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"] for r in langid.keep_identified(df).collect()} == {r[0] for r in rows} - {301}
+    words_ = langid.common_words(df, F.lit(True), "text", "lang", 24_000)["en"][0].split()
+    assert set(words_) >= {*en, *(w.lower() for w in fr)} and set(words_[:8]) < set(en)
+
+
 def test_language_id_of_ties_and_a_very_long_text(spark):
     """Of languages that need as many phrases the one with more labelled rows comes first, then the first by name; and a text is parsed to its end."""
     same = "abc def ghi " * 20

@@ -79,8 +79,8 @@ def suffix_automaton(s: bytes) -> list[dict[int, int]]:
 class CrossParser:
     """The automata of all languages in one table of transitions: row = state, column = class; -1 where there is none."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        """The order of the samples decides ties."""
+    def __init__(self, samples: dict[str, list[str]], least: int = 2):
+        """The order of the samples decides ties. A phrase is weighed as one of `least` symbols at least."""
         self.langs = list(samples)
         used: set[int] = {0}
         texts = []
@@ -103,7 +103,7 @@ class CrossParser:
             self.root.append(base)
             base += len(step)
         self.width = width
-        self.weight = np.log2([max(2, len(t)) for t in texts]) if texts else np.zeros(0)
+        self.weight = np.log2([max(least, len(t)) for t in texts]) if texts else np.zeros(0)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, s: np.ndarray, offsets: np.ndarray, piece: int = 512) -> np.ndarray:
@@ -171,12 +171,36 @@ def sample(docs: DataFrame, learn: Column, key: str, text: str, lang: str, most_
     return out
 
 
-def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48, keep: tuple[str, ...] = (), with_text: bool = False, texts: dict[str, list[str]] | None = None) -> DataFrame:
+def common_words(docs: DataFrame, learn: Column, text: str, lang: str, most_chars: int, all_chars: int = 200_000) -> dict[str, list[str]]:
+    """The words of each language that most of its labelled rows hold, counted over all of them, up to most_chars characters (or an equal share of
+    all_chars). A word is a run of letters, or of bytes that are no ASCII; of equal counts the first word by its code points comes first. The order
+    of languages is that of `sample`. Ranked by running sums, so that no more than the chosen words reach the driver."""
+    from pyspark.sql import Window
+
+    able = docs.where(learn & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    rows_of = {r["l"]: r["count"] for r in able.groupBy("l").count().collect()}
+    every = {r["l"]: r["count"] for r in docs.where(learn & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count().collect()}
+    share = max(1, min(most_chars, all_chars // max(1, len(rows_of))))
+    said = able.select("l", F.explode(F.array_distinct(F.split(F.lower("t"), r"[\x00-\x60\x7B-\x7F]+"))).alias("w")).where("w <> ''")
+    counted = said.groupBy("l", "w").count()
+    # A word takes two characters at least with the space after it, so that more words than half the share are never wanted.
+    # The best of 64 parts of a language's words are ranked first, so that no task sorts them all.
+    best = counted.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(64)))
+    for group in (("l", "part"), ("l",)):
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("count").desc(), "w"))).where(F.col("rank") <= share // 2 + 1)
+    held = best.withColumn("before", F.sum(F.length("w") + 1).over(Window.partitionBy("l").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)))
+    out: dict[str, list[str]] = {x: [] for x in sorted(rows_of, key=lambda x: (-every.get(x, 0), x))}
+    for r in held.where(F.coalesce("before", F.lit(0)) < share).select("l", "rank", F.substring("w", 1, share).alias("w")).orderBy("l", "rank").collect():
+        out[r["l"]].append(r["w"])
+    return {x: [" ".join(words)] for x, words in out.items()}
+
+
+def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48, keep: tuple[str, ...] = (), with_text: bool = False, texts: dict[str, list[str]] | None = None, least: int = 2) -> DataFrame:
     """key, lang_pred, score, bits of each row (and the columns `keep`, and the text as `_text`). The language is learned from rows where `learn` holds, from at most
     `most_chars` characters each, or from the samples `texts`. The score is the share of normalised phrases that the best language needs less than the
     second; bits is the cross-entropy that its phrases estimate, in bits a symbol."""
     texts = sample(docs, learn, key, text, lang, most_chars, per_lang) if texts is None else texts
-    shared = docs.sparkSession.sparkContext.broadcast(CrossParser(texts))
+    shared = docs.sparkSession.sparkContext.broadcast(CrossParser(texts, least))
 
     def rows(batches):
         parser = shared.value
@@ -212,16 +236,17 @@ def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
     return src.mapInArrow(tidy(rows), ", ".join([*(f"`{c}` {kinds[c]}" for c in (src.columns if with_text else rest)), "lang_pred string, score double, bits double"]))
 
 
-def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, per_lang: int = 48, most_bits: float = 8.0) -> DataFrame:
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_chars: int = 24_000, most_bits: float = 8.0) -> DataFrame:
     """The rows whose language is found, with the same columns. Rows without a letter go, and rows that the best language does not explain: those
-    that take more than `most_bits` bits a symbol (prose takes 2 to 5, and letters at random more than 9). Learned from all rows with a key and a
-    language; where there are none, the rows with a letter stay. Columns of any names are kept as they are."""
+    that take more than `most_bits` bits a symbol. Learned from all rows with a key and a language, by the words that most of them hold; where there are none, the rows with a letter stay. Columns of any names are kept as they are."""
     plain, back = numbered(docs, {key: "k", text: "t", lang: "l"})
     learn = F.col("k").isNotNull()
-    texts = sample(plain, learn, "k", "t", "l", most_chars, per_lang)
+    texts = common_words(plain, learn, "t", "l", most_chars)
     if not texts:
         return back(plain.where(r"t RLIKE '\\p{L}'"))
-    named = identify(plain, learn, "k", "t", "l", keep=tuple(c for c in plain.columns if c not in ("k", "t")), with_text=True, texts=texts)
+    # Words that are told once are fewer symbols than text is: a phrase costs what it costs in a full automaton.
+    least = max(2, min(most_chars, 200_000 // len(texts)))
+    named = identify(plain, learn, "k", "t", "l", keep=tuple(c for c in plain.columns if c not in ("k", "t")), with_text=True, texts=texts, least=least)
     return back(named.where((F.col("lang_pred") != "und") & (F.col("bits") <= most_bits)).withColumnRenamed("_text", "t"))
 
 
