@@ -889,6 +889,63 @@ def test_html_of_large_hosts_in_parts(spark):
             assert {tuple(r) for r in html_text.extract(df, cut_articles=cut_articles, **options).collect()} == want
 
 
+def test_html_of_large_hosts_sends_little(spark):
+    """What the parts of a host tell one another about words that no two pages share is a few bytes a window."""
+    words = np.random.default_rng(9).integers(0, 1 << 40, (120, 200))
+    pages = [(i, f"http://h.example/{i}", "<article>" + " ".join(f"{w:x}" for w in page) + "</article>") for i, page in enumerate(words)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4).cache()
+    df.count()
+
+    def run(**options):
+        """(rows, bytes shuffled)"""
+        sc = spark.sparkContext
+        bus, store = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore()
+
+        def stages():
+            bus.waitUntilEmpty(30_000)
+            found = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+            return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+        before = stages()
+        rows = {tuple(r) for r in html_text.extract(df, **options).collect()}
+        return rows, sum(n for k, n in stages().items() if k not in before)
+
+    (whole, once), (parts, sent) = run(), run(chunk_pages=30)
+    df.unpersist()
+    assert parts == whole and {r[4] for r in parts} == {0}
+    short = [(i, f"http://h.example/{i}", f"<p>{'' if i == 3 else f'page {i // 2}'}</p>") for i in range(8)]  # not one window
+    got = html_text.extract(spark.createDataFrame(short, "page_id long, url string, html string"), chunk_pages=1).collect()
+    assert {tuple(r)[2:] for r in got} == {("", 0, 0), *((f"page {i}", 6, 0) for i in range(4))}
+    # A part's pages are sent to it in each of two rounds, and at the end; beside them 16 bits and more are told of each window.
+    assert once > 0 and sent < 3 * once + 4 * 120 * 193
+
+
+@pytest.mark.parametrize("bits", [24, 30, 64])
+def test_html_windows_that_chunks_tell(bits):
+    """Chunks that tell their windows in two rounds know what brute force finds in the whole host, however few of the first bits differ."""
+    rng = np.random.default_rng(bits)
+    pages = [[[f"w{x}" for x in rng.integers(0, 3, int(rng.integers(1, 9)))] for _ in range(int(rng.integers(0, 5)))] for _ in range(30)]
+    outer = [[bool(rng.integers(2)) for _ in page] for page in pages]
+    pages, outer = pages + pages[:9] + pages[:3], outer + outer[:9] + outer[:3]
+    dealt, run, short = [list(range(k, len(pages), 4)) for k in range(4)], 6, 8 if bits == 24 else bits
+    chunks = [([pages[i] for i in of], [outer[i] for i in of]) for of in dealt]
+    told = [html_text.ascending(html_text.first(html_text.Streams(*c).windows(run)[1], short)) for c in chunks]
+    among = html_text.shared([html_text.pack_ascending(x) for x in told])
+    assert all(set(a) == {x for x in t if sum(x in u for u in told) > 1} for a, t in zip(among, told, strict=True))
+    held = [html_text.held(*c, run, short, a) for c, a in zip(chunks, among, strict=True)]
+    every, chrome = html_text.repeats(pages, outer, run)
+    assert any(x.any() for x in every) and any(x.any() for x in chrome)
+    for columns in (2, 4):
+        others = html_text.elsewhere([(html_text.pack_ascending(h[0]), *html_text.pack_texts(h[1 : 1 + columns])) for h in held])
+        for of, c, (w, ends) in zip(dealt, chunks, others, strict=True):
+            got = html_text.repeats(*c, run, [w, *ends])
+            assert [x.tolist() for x in got[0]] == [every[i].tolist() for i in of]
+            assert columns == 2 or [x.tolist() for x in got[1]] == [chrome[i].tolist() for i in of]
+    w = html_text.ascending(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) >> np.uint64(64 - bits))
+    assert [x for _, lo, hi in html_text.ranges(w, bits, 7) for x in w[lo:hi]] == w.tolist() == html_text.unpack_ascending(html_text.pack_ascending(w)).tolist()
+    assert {k for k, _, _ in html_text.ranges(w, bits, 7)} == set(range(7)) and html_text.ranges(w[:0], bits, 7) == []
+
+
 def test_html_of_hosts_with_containers(spark):
     """A page with a container says what recurs on its host: here in dropped blocks, and in its article."""
     menu, notice = "Home News Sport Weather Travel Money Shop Cars", "All of these words are used under terms that nobody has read"

@@ -13,15 +13,17 @@ What is covered decides:
 - chrome is never main text, repeated or not.
 
 So one shuffle takes a host's blocks, compressed, to one task, or a host of more than CHUNK_PAGES pages (or CHUNK_BYTES of markup) to several
-by a hash of the address. Each of these tells the windows of `run` tokens that it holds, by 64 bits of a hash, and learns which of them other
-texts of the host hold in other tasks, so that the size of a chunk decides no result. Defined results: a null html is empty, and so is
-its text; a page without blocks has an empty text; unclosed and stray tags are put up with; repeated pages are one text, so that they are no
-evidence against each other; a null or broken url is a host of its own.
+by a hash of address and markup. Each of these tells the windows of `run` tokens that it holds, in two rounds, and learns which of them other texts of
+the host hold in other tasks, so that the size of a chunk decides no result: first a few bits of a hash of every window, a byte or two once
+packed, and then all 64 bits, and the texts, of the few windows whose first bits another chunk has told too. Defined results: a null html is
+empty, and so is its text; a page without blocks has an empty text; unclosed and stray tags are put up with; repeated pages are one text, so
+that they are no evidence against each other; a null or broken url is a host of its own.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from urllib.parse import urlsplit
 
@@ -37,6 +39,9 @@ from .textkit import mix
 
 #: Pages, and bytes of their markup, that one task looks for repeats in.
 CHUNK_PAGES, CHUNK_BYTES = 2_000, 32 << 20
+#: Bits of a window's hash that a chunk tells in the first round, and one more for each doubling of a host's chunks. They decide how many windows
+#: go on to the second round for nothing, and no result: a chunk has some hundred thousand windows, so that it is a few of a hundred.
+FIRST_BITS = 24
 #: Hosts beyond a chunk (16 bytes each) up to which they are broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -199,27 +204,34 @@ class Streams:
         np.cumsum(~self.outer, out=inner[1:])
         return inner[run : m + run] == inner[:m]
 
-    def windows(self, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, hashes, hashes of their pages' texts) of all windows of `run` tokens, the same in any chunk."""
+    def windows(self, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of all windows of `run` tokens, the same in any chunk."""
         ends = np.repeat(np.cumsum(self.size) - 1, self.size)
         at = np.flatnonzero(np.arange(len(self.joined)) + run <= ends)
         words = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.vocabulary], np.uint64)
-        texts = np.array([xxhash.xxh3_64_intdigest(" ".join(w for block in self.pages[i] for w in block).encode("utf-8", "surrogatepass")) for i in self.own], np.uint64)
         w = np.zeros(len(at), np.uint64)
+        hashes = words.take(self.joined, mode="clip") if len(at) else words
         for k in range(run if len(at) else 0):
-            w = mix(w ^ words[self.joined[at + k]])
-        return at, w.view(np.int64), texts.view(np.int64)[self.page[at]]
+            w = mix(w ^ hashes[at + k])
+        return at, w
+
+    def texts(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the texts of the pages at these places."""
+        texts = np.array([xxhash.xxh3_64_intdigest(" ".join(w for block in self.pages[i] for w in block).encode("utf-8", "surrogatepass")) for i in self.own], np.uint64)
+        return texts.view(np.int64)[self.page[at]]
 
 
-#: Columns of a window: its hash, the least and greatest hash of texts that hold it, and of those that hold it as chrome.
-WINDOW = ["w", "low", "high", "chrome_low", "chrome_high"]
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
-def held(pages: list[list[list[str]]], chrome: list[list[bool]], run: int) -> list[np.ndarray]:
-    """(window, least and greatest text that holds it, and those that hold it as chrome: MOST and LEAST if none do) of each distinct window of some pages."""
+def held(pages: list[list[list[str]]], chrome: list[list[bool]], run: int, bits: int, among: np.ndarray) -> list[np.ndarray]:
+    """(window, least and greatest text that holds it, and those that hold it as chrome: MOST and LEAST if none do) of each distinct window of some pages
+    whose first bits are among some, which ascend."""
     streams = Streams(pages, chrome)
-    at, w, text = streams.windows(run)
+    at, w = streams.windows(run)
+    some = within(first(w, bits), among)
+    at, w = at[some], w[some]
+    text = streams.texts(at)
     values, of = np.unique(w, return_inverse=True)
     as_chrome = streams.as_chrome(run, max(0, len(streams.joined) - run + 1))[at]
     out = [values]
@@ -231,9 +243,93 @@ def held(pages: list[list[list[str]]], chrome: list[list[bool]], run: int) -> li
     return out
 
 
+def ascending(values: np.ndarray) -> np.ndarray:
+    """The distinct ones, sorted."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def within(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each is among some, which ascend."""
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values if len(some) else np.zeros(len(values), bool)
+
+
+def first_bits(chunks: int) -> int:
+    return min(64, FIRST_BITS + (chunks - 1).bit_length())
+
+
+def first(w: np.ndarray, bits: int) -> np.ndarray:
+    return w >> np.uint64(64 - bits)
+
+
+def ranges(values: np.ndarray, bits: int, n: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of ascending numbers of so many bits, dealt to n ranges by FIRST_BITS bits."""
+    of = first(values << np.uint64(64 - bits), FIRST_BITS) * np.uint64(n) >> np.uint64(FIRST_BITS)
+    ends = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else []
+    return [(int(of[lo]), lo, hi) for lo, hi in itertools.pairwise(ends)]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers, compressed: the lowest bytes of all, then the next ones, and so on, so that what is small or rare costs next to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def pack_ascending(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def shared(told: list[bytes]) -> list[np.ndarray]:
+    """Of the numbers that each chunk tells, once each, those that another tells too."""
+    parts = [unpack_ascending(x) for x in told]
+    every = np.sort(np.concatenate(parts))
+    twice = every[1:][every[1:] == every[:-1]]
+    return [x[within(x, twice)] for x in parts]
+
+
+def pack_texts(columns: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """(distinct texts, places among them) of columns of texts, the least and the greatest in turn."""
+    names, at = np.unique(np.concatenate(columns), return_inverse=True)
+    at = at.reshape(len(columns), -1).astype(np.uint32)
+    at[1::2] -= at[::2]  # mostly nothing: one text holds a window
+    return pack(names), pack(at.reshape(-1))
+
+
+def unpack_texts(names: bytes, at: bytes, n: int) -> np.ndarray:
+    places = unpack(at, np.uint32).reshape(-1, 2, n)
+    return unpack(names, np.int64)[np.cumsum(places, axis=1, dtype=np.uint32).reshape(-1, n)]
+
+
+def elsewhere(told: list[tuple[bytes, bytes, bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each chunk, from the windows that the chunks of a host tell and the texts that hold them: (windows that it must know another text holds in another
+    chunk, the least and greatest text that hold them as chrome anywhere, if texts are told of that). A window that several of a chunk's own
+    texts hold is known to recur without that."""
+    parts = [unpack_ascending(w) for w, _, _ in told]
+    texts = [unpack_texts(names, at, len(w)) for (_, names, at), w in zip(told, parts, strict=True)]
+    every, of = np.unique(np.concatenate(parts), return_inverse=True)
+    ends = []
+    for k, x in enumerate(np.concatenate(texts, axis=1)):
+        ends.append(np.full(len(every), LEAST if k % 2 else MOST))
+        (np.maximum if k % 2 else np.minimum).at(ends[k], of, x)
+    out, at = [], 0
+    for w, own in zip(parts, texts, strict=True):
+        here = of[at : at + len(w)]
+        at += len(w)
+        some = (ends[0] < ends[1])[here] & ((own[0] == own[1]) | (len(own) > 2))
+        out.append((w[some], np.array([x[here[some]] for x in ends[2:]])))
+    return out
+
+
 def repeats(pages: list[list[list[str]]], chrome: list[list[bool]], run: int, others: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of the tokens of each page's blocks: whether a repeat of `run` tokens and more covers them that is on another page too, and one that stands there as chrome. Pages of the same tokens are one.
-    `others` are windows that other chunks of the host hold too, with what `held` says of them over all chunks."""
+    `others` are windows that other texts of the host hold in other chunks, and the least and greatest text that hold each as chrome in any chunk, or none."""
     streams = Streams(pages, chrome)
     own, size, page, joined = streams.own, streams.size, streams.page, streams.joined
     rank = suffix_ranks(joined, run)
@@ -250,15 +346,18 @@ def repeats(pages: list[list[list[str]]], chrome: list[list[bool]], run: int, ot
             np.add.at(covered[k], at, 1)
             np.add.at(covered[k], at + run, -1)
     if others is not None and len(others[0]):
-        at, w, text = streams.windows(run)
+        at, w = streams.windows(run)
         order = np.argsort(others[0])
         there = order[np.minimum(np.searchsorted(others[0], w, sorter=order), len(order) - 1)]
         known = others[0][there] == w
-        for k in range(2):
-            low, high = others[1 + 2 * k][there], others[2 + 2 * k][there]
-            more = at[known & (low <= high) & ((low != text) | (high != text))]
-            np.add.at(covered[k], more, 1)
-            np.add.at(covered[k], more + run, -1)
+        at, there = at[known], there[known]
+        more = [at]
+        if len(others) > 1:
+            text, low, high = streams.texts(at), others[1][there], others[2][there]
+            more.append(at[(low <= high) & ((low != text) | (high != text))])
+        for k, some in enumerate(more):
+            np.add.at(covered[k], some, 1)
+            np.add.at(covered[k], some + run, -1)
     marks = np.cumsum(covered, axis=1)[:, :-1] > 0
     start = dict(zip(own, (np.cumsum(size) - size).tolist(), strict=True))
     spans = [(start[t], start[t] + streams.lengths[t]) for t in streams.text.tolist()]
@@ -296,10 +395,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def hosts(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(host_of(x)) - (1 << 63) for x in b.column(0).to_pylist()], pa.int64()), b.column(1)], names=["host", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(host_of(x)) - (1 << 63) for x in b.column("url").to_pylist()], pa.int64()), *b.columns], names=["host", *b.schema.names])
 
     # A row for each host with more than a chunk: at most as many as there are chunks.
-    sized = src.select("url", F.octet_length("html").cast("long").alias("size")).mapInArrow(tidy(hosts), "host long, size long").groupBy("host").agg(F.count("*").alias("m"), F.sum("size").alias("size"))
+    sized = src.select("url", F.octet_length("html").cast("long").alias("size")).mapInArrow(tidy(hosts), "host long, url string, size long").groupBy("host").agg(F.count("*").alias("m"), F.sum("size").alias("size"))
     large = cut(sized.select("host", F.greatest(F.ceil(F.col("m") / chunk_pages), F.least(F.ceil(F.col("size") / chunk_bytes), F.col("m"))).cast("long").alias("chunks")).where("chunks > 1"))
 
     def read(batches):
@@ -307,78 +406,124 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                parsed = [all_blocks(x) for x in part.column(2).to_pylist()]
-                addresses = part.column(1).to_pylist()
+                parsed = [all_blocks(x) for x in part.column("html").to_pylist()]
                 columns = [
-                    pa.array([xxhash.xxh3_64_intdigest(host_of(x)) - (1 << 63) for x in addresses], pa.int64()), pa.array([press.compress("\n".join(x[0]).encode("utf-8", "surrogatepass")) for x in parsed], pa.binary()),
+                    pa.array([press.compress("\n".join(x[0]).encode("utf-8", "surrogatepass")) for x in parsed], pa.binary()),
                     pa.array([np.array(x[1], np.int8).tobytes() for x in parsed], pa.binary()), pa.array([x[2] for x in parsed], pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["k", "url", "host", "z", "kinds", "found"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("chunk", "host", "chunks", "k", "url")), *columns], names=["chunk", "host", "chunks", "k", "url", "z", "kinds", "found"])
 
-    blocks_ = src.mapInArrow(tidy(read), f"k {kind}, url string, host long, z binary, kinds binary, found boolean")
     def unpacked(rows):
         press = zstandard.ZstdDecompressor()
         texts = [(press.decompress(z).decode("utf-8", "surrogatepass"), np.frombuffer(kinds, np.int8).tolist(), found) for z, kinds, found in rows]
         return [(text.split("\n") if text else [], kinds, found) for text, kinds, found in texts]
 
-    def stretches(batches):
-        """(chunk, rows) of batches that are sorted by chunk; a chunk may come in several."""
+    def stretches(batches, keys=1):
+        """(key, rows) of batches that are sorted by their first columns; a key may come in several."""
         for b in batches:
-            chunk = b.column(0).to_numpy()
-            begin = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
-            for lo, hi in zip(begin, [*begin[1:], len(chunk)], strict=True):
-                yield int(chunk[lo]), b.slice(int(lo), int(hi - lo))
-
-    def look(batches):
-        now, host, rows = None, None, []
-
-        def done():
-            columns = held(*tokens(unpacked(rows)), run)
-            n = len(columns[0])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(n, now), np.full(n, host), *columns)], names=["chunk", "host", *WINDOW])
-
-        for chunk, part in stretches(batches):
-            if rows and chunk != now:
-                yield done()
+            key = np.stack([b.column(i).to_numpy() for i in range(keys)])
+            ends = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for lo, hi in itertools.pairwise(ends):
+                yield tuple(key[:, lo].tolist()), b.slice(lo, hi - lo)
+
+    def gathered(batches, keys=1):
+        """(key, rows) of batches that are sorted by their first columns, all rows of a key together."""
+        now, rows = None, []
+        for key, part in stretches(batches, keys):
+            if rows and key != now:
+                yield now, rows
                 rows = []
-            now, host = chunk, part.column(1)[0].as_py()
-            rows.extend(zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True))
+            now = key
+            rows.extend(zip(*(part.column(i).to_pylist() for i in range(keys, part.num_columns)), strict=True))
         if rows:
-            yield done()
-
-    page = ["chunk", "k", "url", "z", "kinds", "found"]
+            yield now, rows
+
+    def of_host(chunks):
+        """Ranges of windows, each with as many as two chunks have."""
+        return -(-chunks // 2)
+
+    def tell(batches):
+        """The first bits of each chunk's windows."""
+        for (chunk,), rows in gathered(batches):
+            host, chunks = rows[0][:2]
+            bits = first_bits(chunks)
+            told = ascending(first(Streams(*tokens(unpacked([r[2:] for r in rows]))).windows(run)[1], bits))
+            parts = ranges(told, bits, of_host(chunks))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([host] * len(parts), pa.int64()), pa.array([p for p, _, _ in parts], pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array([pack_ascending(told[lo:hi]) for _, lo, hi in parts], pa.binary()),
+            ], names=["host", "part", "chunk", "told"])
+
+    def meet(batches):
+        """For each chunk those first bits that others of its host tell too."""
+        for _, rows in gathered(batches, 2):
+            found = [(chunk, pack_ascending(x)) for (chunk, _), x in zip(rows, shared([told for _, told in rows]), strict=True) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["chunk", "known"])
+
+    def tell_all(batches):
+        """Of the windows with these first bits all bits, and the texts that hold them."""
+        for (chunk,), rows in gathered(batches):
+            among = [unpack_ascending(r[0]) for r in rows if r[0] is not None]
+            rows = [r[1:] for r in rows if r[0] is None]
+            if not among:
+                continue
+            host, chunks = rows[0][:2]
+            w, *texts = held(*tokens(unpacked([r[2:] for r in rows])), run, first_bits(chunks), np.sort(np.concatenate(among)))
+            texts = texts if cut_articles else texts[:2]
+            parts = ranges(w, 64, of_host(chunks))
+            packed = [pack_texts([x[lo:hi] for x in texts]) for _, lo, hi in parts]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([host] * len(parts), pa.int64()), pa.array([p for p, _, _ in parts], pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array([pack_ascending(w[lo:hi]) for _, lo, hi in parts], pa.binary()),
+                pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary()),
+            ], names=["host", "part", "chunk", "told", "texts", "places"])
+
+    def meet_all(batches):
+        for _, rows in gathered(batches, 2):
+            found = [(r[0], pack_ascending(w), pack(ends.reshape(-1)) if len(ends) else None) for r, (w, ends) in zip(rows, elsewhere([r[1:] for r in rows]), strict=True) if len(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), *(pa.array([r[i] for r in found], pa.binary()) for i in (1, 2))], names=["chunk", "known", "ends"])
+
+    def by(df, *keys):
+        return df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def dealt_out(rows):
+        rows = rows.withColumn("chunk", F.xxhash64("host", F.pmod(F.xxhash64("url", "html"), F.col("chunks"))))
+        return rows.mapInArrow(tidy(read), f"chunk long, host long, chunks long, k {kind}, url string, z binary, kinds binary, found boolean")
+
+    page, known = ["chunk", "k", "url", "z", "kinds", "found"], ["known", "ends"]
+    rows = src.mapInArrow(tidy(hosts), f"host long, k {kind}, url string, html string")
     n_large = large.count()
     if n_large:
-        blocks_ = blocks_.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "host", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
-        blocks_ = cut(blocks_.withColumn("chunk", F.xxhash64("host", F.pmod(F.xxhash64("url", "z"), F.col("chunks")))))
-        parts = blocks_.where("chunks > 1").select("chunk", "host", "z", "kinds", "found").repartition("chunk").sortWithinPartitions("chunk")
-        # A chunk tells a window once, so a list is as long as a host's chunks. Where all texts are one, nothing is repeated.
-        windows = parts.mapInArrow(tidy(look), "chunk long, host long, " + ", ".join(f"{c} long" for c in WINDOW)).groupBy("host", "w")
-        windows = windows.agg(F.collect_list("chunk").alias("chunks"), *[f(c).alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.min, "chrome_low"), (F.max, "chrome_high"))])
-        windows = windows.where("size(chunks) > 1 AND low <> high").select(F.explode("chunks").alias("chunk"), *WINDOW)
-        dealt = blocks_.select(*page).unionByName(windows, allowMissingColumns=True)
+        rows = rows.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "host", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+        # A round reads the pages of large hosts anew, and what it sends is gone from the disk before the next one begins: blocks that were kept
+        # for all rounds would take as much disk again as the shuffle of a round.
+        parts = dealt_out(rows.where("chunks > 1")).select("chunk", "host", "chunks", "z", "kinds", "found")
+        told = by(parts, "chunk").mapInArrow(tidy(tell), "host long, part long, chunk long, told binary")
+        met = cut(by(told, "host", "part").mapInArrow(tidy(meet), "chunk long, known binary"))
+        # What a chunk has learned stands before its pages.
+        told = met.unionByName(parts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("known").isNull())
+        told = told.mapInArrow(tidy(tell_all), "host long, part long, chunk long, told binary, texts binary, places binary")
+        met = cut(by(told, "host", "part").mapInArrow(tidy(meet_all), "chunk long, known binary, ends binary"))
+        dealt = dealt_out(rows).select(*page).unionByName(met, allowMissingColumns=True)
     else:
-        dealt = blocks_.withColumn("chunk", F.xxhash64("host", F.lit(0).cast("long"))).select(*page, *[F.lit(None).cast("long").alias(c) for c in WINDOW])
-    # A chunk's windows stand before its pages.
-    dealt = dealt.select(*page, *WINDOW).repartition("chunk").sortWithinPartitions("chunk", F.col("w").isNull())
+        dealt = dealt_out(rows.withColumn("chunks", F.lit(1).cast("long"))).select(*page, *[F.lit(None).cast("binary").alias(c) for c in known])
+    dealt = dealt.select(*page, *known).repartition("chunk").sortWithinPartitions("chunk", F.col("known").isNull())
 
     def settled(batches):
         now, rows, others = None, [], []
 
         def done():
-            joined = [np.concatenate(x) for x in zip(*others, strict=True)] if others else None
+            joined = [np.concatenate(x, axis=-1) for x in zip(*others, strict=True)] if others else None
             texts = main_texts(unpacked([r[2:] for r in rows]), run, cut_articles, joined)
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], key_type), pa.array([r[1] for r in rows], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([n for _, n in texts], pa.int64())], names=["k", "url", "text", "n_repeated"])
 
-        for chunk, part in stretches(batches):
+        for (chunk,), part in stretches(batches):
             key_type = part.schema.field("k").type
             if rows and chunk != now:
                 yield done()
                 rows, others = [], []
             now = chunk
-            n = part.num_rows - part.column("w").null_count
-            if n:
-                others.append([part.column(c).slice(0, n).to_numpy() for c in WINDOW])
+            n = part.num_rows - part.column("known").null_count
+            for w, ends in zip(*(part.column(c).slice(0, n).to_pylist() for c in known), strict=True):
+                others.append([unpack_ascending(w), *(unpack(ends, np.int64).reshape(2, -1) if ends else ())])
             rows.extend(zip(*(part.column(c).slice(n).to_pylist() for c in page[1:]), strict=True))
         if rows:
             yield done()
