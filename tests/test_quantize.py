@@ -1,5 +1,7 @@
 """Properties that palettes, counts, k-means and dithering have."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -11,7 +13,7 @@ from tintflow.functions.colorspace import ColorSpace
 from tintflow.operators import counts, dither, fidelity, histogram, kmeans, nearest, sampling, wu
 from tintflow.plans import ImagePipeline, PalettePipeline, QuantizeMethod
 from tintflow.sources import color_slice, empty_pixels, image_bytes, num_colors, pixels_of, quantized_pixels, read_images, truncated, validated, write_image_files
-from tintflow.types import PALETTE, AboveMaxLen, PaletteSize, QuantizeOutput
+from tintflow.types import IMAGES, PALETTE, AboveMaxLen, PaletteSize, QuantizeOutput
 
 
 def distinct_colors(n, seed=0):
@@ -373,6 +375,33 @@ def test_image_files_round_trip(spark, tmp_path):
     assert [tuple(r) for r in again.orderBy("pos").select("r", "g", "b").collect()] == values
 
 
+def test_image_files_are_made_in_pieces(spark, tmp_path, monkeypatch):
+    from tintflow.sources import sinks
+
+    monkeypatch.setattr(sinks, "PIECE", 5, raising=False)
+    monkeypatch.setattr(sinks, "CHUNK", 16, raising=False)
+    sizes = [(0, 7, 9), (1, 3, 1), (2, 1, 11)]
+    values = {i: [tuple(map(int, x)) for x in np.random.default_rng(i).integers(0, 256, (w * h, 3))] for i, w, h in sizes}
+    # Positions are an order: there may be gaps, of places too.
+    px = reduce(lambda a, b: a.unionByName(b), [color_slice(spark, v, i).withColumn("pos", F.col("pos") * 3 + 1) for i, v in values.items()])
+    im = spark.createDataFrame(sizes, IMAGES)
+    # No group function is given all pixels of an image.
+    assert "FlatMapGroups" not in image_bytes(px, im)._jdf.queryExecution().toString()
+    assert max(len(r["data"]) for r in sinks.packed_pixels(px).collect()) <= 3 * 5
+    assert {r["image_id"]: bytes(r["content"]) for r in image_bytes(px, im, "ppm").collect()} == {i: b"P6\n%d %d\n255\n" % (w, h) + bytes(sum(values[i], ())) for i, w, h in sizes}
+    write_image_files(px, im, str(tmp_path))
+    again = pixels_of(read_images(spark, str(tmp_path)).withColumn("image_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long")))
+    assert [tuple(r) for r in again.orderBy("image_id", "pos").collect()] == [(i, pos, *c) for i, v in values.items() for pos, c in enumerate(v)]
+    with pytest.raises(Exception, match="an image of 3 x 2 has 3 pixels"):
+        write_image_files(px.where("image_id = 1"), spark.createDataFrame([(1, 3, 2)], IMAGES), str(tmp_path / "wrong"))
+    assert not list((tmp_path / "wrong").glob("[!.]*")) and not list((tmp_path / "wrong").glob(".1-*"))
+    # Without positions, or with one position for all, an image still comes in pieces, and none of its pixels is lost.
+    same = color_slice(spark, values[0])
+    for pos in (None, 4):
+        content = image_bytes(same.withColumn("pos", F.lit(pos).cast("long")), im, "ppm").first()["content"]
+        assert sorted(zip(*[iter(bytes(content)[len(b"P6\n7 9\n255\n") :])] * 3, strict=True)) == sorted(values[0])
+
+
 def test_benchmark_folders(spark, tmp_path):
     from tintflow.sources import benchmark_images, load_image_dir
 

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 MAX_PIXELS = 2**32 - 1
 MAX_COLORS = 256
+#: Pixels of an image that Python packs or unpacks at once.
+PIECE = 1 << 16
 
 
 class AboveMaxLen(ValueError):
