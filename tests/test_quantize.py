@@ -402,6 +402,26 @@ def test_image_files_are_made_in_pieces(spark, tmp_path, monkeypatch):
         assert sorted(zip(*[iter(bytes(content)[len(b"P6\n7 9\n255\n") :])] * 3, strict=True)) == sorted(values[0])
 
 
+def test_image_files_are_read_in_pieces(spark, monkeypatch):
+    from tintflow.sources import images as reading
+
+    monkeypatch.setattr(reading, "PIECE", 5, raising=False)
+    data = {3: bytes(np.random.default_rng(3).integers(0, 256, 33, dtype=np.uint8)), 1: bytes(range(13))}
+    images = spark.createDataFrame([(n, n, bytearray(x)) for n, x in data.items()], "image_id long, channels int, data binary")
+    seen, plain = [], type(images).mapInArrow
+
+    def mapped(df, *args, **more):
+        seen.append(df.select(F.max(F.length("data"))).first()[0])
+        return plain(df, *args, **more)
+
+    with monkeypatch.context() as m:
+        m.setattr(type(images), "mapInArrow", mapped)
+        got = pixels_of(images)
+    assert seen == [15]
+    grey, color = [(1, i, x, x, x) for i, x in enumerate(data[1])], [(3, i, *data[3][3 * i : 3 * i + 3][::-1]) for i in range(11)]
+    assert [tuple(r) for r in got.orderBy("image_id", "pos").collect()] == grey + color
+
+
 def test_benchmark_folders(spark, tmp_path):
     from tintflow.sources import benchmark_images, load_image_dir
 

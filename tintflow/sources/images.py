@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..types import PIECE
+
 
 def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(image_id, origin, width, height, channels, data) of image files. Ids are a hash of the origin, so that they do not depend on how files are dealt."""
@@ -32,7 +34,8 @@ def benchmark_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pixels_of(images: DataFrame) -> DataFrame:
-    """(image_id, pos, r, g, b) of decoded images, row by row from the top. Spark keeps bytes as blue, green, red; grey images have one channel. Alpha is not supported."""
+    """(image_id, pos, r, g, b) of decoded images, row by row from the top. Spark keeps bytes as blue, green, red; grey images have one channel. Alpha is not supported.
+    Images are cut into pieces before Python sees them."""
 
     def unpack(batches):
         for b in batches:
@@ -40,13 +43,12 @@ def pixels_of(images: DataFrame) -> DataFrame:
                 n = b.column("channels")[i].as_py()
                 if n not in (1, 3):
                     raise ValueError(f"an image has {n} channels; 1 or 3 are supported")
-                data = np.frombuffer(b.column("data")[i].as_buffer(), np.uint8).reshape(-1, n)
-                ident = b.column("image_id")[i].as_py()
-                for lo in range(0, len(data), 1 << 18):
-                    part = data[lo : lo + (1 << 18)].astype(np.int64)
-                    rgb = [part[:, 0]] * 3 if n == 1 else [part[:, 2], part[:, 1], part[:, 0]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), ident)), pa.array(np.arange(lo, lo + len(part))), *map(pa.array, rgb)], names=["image_id", "pos", "r", "g", "b"])
-
-    return images.select("image_id", "channels", "data").mapInArrow(unpack, "image_id long, pos long, r long, g long, b long")
-
-
+                part = np.frombuffer(b.column("data")[i].as_buffer(), np.uint8).reshape(-1, n).astype(np.int64)
+                ident, lo = b.column("image_id")[i].as_py(), b.column("at")[i].as_py() // n
+                rgb = [part[:, 0]] * 3 if n == 1 else [part[:, 2], part[:, 1], part[:, 0]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), ident)), pa.array(np.arange(lo, lo + len(part))), *map(pa.array, rgb)], names=["image_id", "pos", "r", "g", "b"])
+
+    step = F.greatest(F.col("channels"), F.lit(1)) * PIECE
+    last = F.greatest(F.length("data") - 1, F.lit(0))
+    pieces = images.select("image_id", "channels", "data", F.explode(F.sequence(F.lit(0), last, step)).alias("at"))
+    return pieces.select("image_id", "channels", "at", F.substring("data", F.col("at") + 1, step).alias("data")).mapInArrow(unpack, "image_id long, pos long, r long, g long, b long")
